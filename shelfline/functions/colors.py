@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from shelfline.functions import vocabulary as v
-from shelfline.functions.text import first_match, fold, let, lookup, squeeze
+from shelfline.functions.text import first_match, fold, let, lookup, sql_text, squeeze
 
 _EDGES = "()[]{}.,;:-_/ "
 _KEY_TABLE = [(name, rf"(?iU)\b(?:{words})\b") for name, words in v.COLOR_KEY_WORDS]
@@ -27,6 +27,11 @@ def pattern_key(x: Column) -> Column:
     return F.when(x.rlike(_ANY_KEY), first_match(x, _KEY_TABLE))
 
 
+def plain_color(x: Column) -> Column:
+    """Colour of a text without closing parenthesis: keys first, then the wider vocabulary."""
+    return F.when(x.rlike(_ANY_COLOR), first_match(x, _KEY_TABLE + _FALLBACK_TABLE))
+
+
 def explicit_color(title: Column) -> Column:
     inside = _trailing(title)
     return F.when(inside.rlike(_ANY_KEY), inside)
@@ -73,18 +78,18 @@ def color_suffix_width(title: Column) -> Column:
     """How many closing words of a squeezed title name its colour; NULL if none do."""
 
     def measure(words: Column) -> Column:
-        full = requested_color(title)
+        full = plain_color(title)
 
         def fits(width: Column) -> Column:
             phrase = F.btrim(_closing_words(words, width), F.lit(_EDGES))
-            return (phrase != "") & ~phrase.rlike(r"(?U)\d") & (let(phrase, requested_color) == full)
+            return (phrase != "") & ~phrase.rlike(r"(?U)\d") & (let(phrase, plain_color) == full)
 
         start = F.filter(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - 1)), fits)
 
         def extend(state: Column, width: Column) -> Column:
             before = F.btrim(words[F.size(words) - width], F.lit(_EDGES))
             joins = ((state["open"]) & (width == state["width"] + 1) & before.rlike(v.COLOR_DESCRIPTOR)
-                     & ~before.rlike(r"(?U)\d") & (let(_closing_words(words, width), requested_color) == full))
+                     & ~before.rlike(r"(?U)\d") & (let(_closing_words(words, width), plain_color) == full))
             past = width <= state["width"]
             return F.struct(F.when(joins, width).otherwise(state["width"]).alias("width"),
                             (past | F.coalesce(joins, F.lit(False))).alias("open"))
@@ -102,7 +107,7 @@ def neutral_of_color(title: Column) -> Column:
     """Title without its closing colour; colour words inside the model stay."""
 
     def strip(text: Column) -> Column:
-        in_parenthesis = F.when(text.rlike(_TRAILING), let(F.regexp_extract(text, _TRAILING, 1), requested_color))
+        in_parenthesis = F.when(text.rlike(_TRAILING), let(F.regexp_extract(text, _TRAILING, 1), plain_color))
         without_parenthesis = F.btrim(F.regexp_replace(text, r"\s*\([^()]*\)\s*$", ""), F.lit(" -/,"))
         words = F.split(text, " ")
         rest = let(color_suffix_width(text), lambda width: F.when(width.isNotNull(), F.btrim(
@@ -114,11 +119,10 @@ def neutral_of_color(title: Column) -> Column:
 
 
 def _alias_map() -> Column:
-    entries = []
-    for alias, family, variant, confidence in v.color_aliases():
-        entries += [F.lit(alias), F.struct(F.lit(family).alias("family"), F.lit(variant).alias("variant"),
-                                           F.lit(confidence).alias("confidence"))]
-    return F.create_map(*entries)
+    entries = ", ".join(
+        f"'{alias}', named_struct('family', '{family}', 'variant', '{variant}', 'confidence', '{confidence}')"
+        for alias, family, variant, confidence in v.color_aliases())
+    return F.expr(f"map({entries})")
 
 
 def alias_form(x: Column) -> Column:
@@ -172,19 +176,17 @@ def normalize_color(text: Column) -> Column:
     """Strongest colour in free text: the alias that ends last, exact before base, longer before shorter."""
     padded = F.concat(F.lit(" "), alias_form(text), F.lit(" "))
 
+    # distance from the end is the position in the reversed text
+    hits = ", ".join(
+        f"CASE WHEN locate('{f' {alias} '[::-1]}', reverse(p)) > 0 THEN named_struct("
+        f"'ends', length(p) - locate('{f' {alias} '[::-1]}', reverse(p)), 'exact', {int(confidence == 'exact_variant')}, "
+        f"'words', {len(alias.split())}, 'family', '{family}', 'variant', '{variant}', 'confidence', '{confidence}') END"
+        for alias, family, variant, confidence in v.color_aliases())
+
     def score(p: Column) -> Column:
-        hits = []
-        for alias, family, variant, confidence in v.color_aliases():
-            marker = f" {alias} "
-            # distance from the end is the position in the reversed text
-            back = F.locate(marker[::-1], F.reverse(p))
-            hits.append(F.when(back > 0, F.struct(
-                (F.length(p) - back + 1).alias("ends"),
-                F.lit(int(confidence == "exact_variant")).alias("exact"), F.lit(len(alias.split())).alias("words"),
-                F.lit(family).alias("family"), F.lit(variant).alias("variant"), F.lit(confidence).alias("confidence"))))
-        best = F.array_max(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-        return F.when(best.isNotNull(), F.struct(best["family"].alias("family"), best["variant"].alias("variant"),
-                                                 best["confidence"].alias("confidence")))
+        found = F.call_function("transform", F.array(p), F.expr(f"p -> array_max(array_compact(array({hits})))"))[0]
+        return let(found, lambda best: F.when(best.isNotNull(), F.struct(
+            best["family"].alias("family"), best["variant"].alias("variant"), best["confidence"].alias("confidence"))))
 
     return let(padded, score)
 
@@ -216,11 +218,11 @@ def _caption(x: Column) -> Column:
 def color_label(title: Column) -> Column:
     """Readable colour label of a card."""
     trailing = F.when(title.rlike(_TRAILING), F.regexp_extract(title, _TRAILING, 1))
-    in_parenthesis = F.when(let(trailing, requested_color).isNotNull(), _caption(trailing))
+    in_parenthesis = F.when(let(trailing, plain_color).isNotNull(), _caption(trailing))
     words = F.split(title, " ")
     in_suffix = let(color_suffix_width(title), lambda w: F.when(w.isNotNull(), _caption(_closing_words(words, w))))
-    inside = F.coalesce(*[
-        F.nullif(F.regexp_extract(title, pattern, 0), F.lit("")) for _, pattern in _FALLBACK_TABLE])
+    found = ", ".join(f"nullif(regexp_extract(x, {sql_text(pattern)}, 0), '')" for _, pattern in _FALLBACK_TABLE)
+    inside = F.call_function("transform", F.array(title), F.expr(f"x -> coalesce({found})"))[0]
     return F.when(title.rlike(_ANY_COLOR), F.coalesce(display_color(title), in_parenthesis, in_suffix, _caption(inside)))
 
 

@@ -14,21 +14,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sql_text(value: str) -> str:
+    """A raw SQL string literal."""
+    return "r'" + value + "'"
+
+
 def first_match(value: Column, table: list[tuple[str, str]]) -> Column:
     """Name of the first pattern found in the value, NULL if none."""
-    chain = F.when(value.rlike(table[0][1]), F.lit(table[0][0]))
-    for name, pattern in table[1:]:
-        chain = chain.when(value.rlike(pattern), F.lit(name))
-    return chain
+    # one parsed lambda instead of a Column call per pattern: planning stays short
+    branches = " ".join(f"WHEN x RLIKE {sql_text(pattern)} THEN '{name}'" for name, pattern in table)
+    return F.call_function("transform", F.array(value), F.expr(f"x -> CASE {branches} END"))[0]
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    entries = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(f"'{k}', '{name}'" for k, name in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def word_list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
 
 
 def squeeze(x: Column) -> Column:
