@@ -119,13 +119,15 @@ SELECT DISTINCT o_custkey AS chat_id, p.product_key AS product_key, p.title AS t
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {v_products} p ON p.p_partkey = l_partkey
 """
 
-# one toggle per (customer, product), some of them with an unusable price
+# toggle events of a customer for a product, some of them with an unusable price
 VIEWS["v_toggles"] = """
-SELECT o_custkey AS chat_id, p.product_key AS product_key, min(p.title) AS title, min(p.model) AS query,
-       min(CASE WHEN l_linenumber = 7 THEN -1.0 ELSE floor(l_extendedprice * 100 / l_quantity) / 100 END) AS price,
-       'BYN' AS currency
+SELECT o_custkey AS chat_id, p.product_key AS product_key, p.title AS title, p.model AS query,
+       CASE WHEN l_linenumber = 7 THEN -1.0 ELSE floor(l_extendedprice * 100 / l_quantity) / 100 END AS price,
+       'BYN' AS currency,
+       concat(CAST(l_shipdate AS DATE), '-', lpad(concat('', l_orderkey), 11, '0'), '-', l_linenumber, '-',
+              lpad(concat('', l_suppkey), 8, '0'), '-', lpad(concat('', CAST(l_quantity AS INT)), 3, '0')) AS position
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {v_products} p ON p.p_partkey = l_partkey
-WHERE l_returnflag = 'A' GROUP BY o_custkey, p.product_key
+WHERE l_returnflag = 'A'
 """
 
 # user turns as raw queries, model names as clean ones
@@ -155,6 +157,22 @@ SELECT event_id + 1 AS record,
 FROM {events}
 """
 
+# candidate offers of a comparison, accepted if sellable and not too cheap; one request per brand and model
+VIEWS["v_decisions"] = """
+SELECT o.*, concat(p.brand, ' ', p.model) AS request_id,
+       available AND price >= 500 AS accepted,
+       CASE WHEN NOT available THEN 'unavailable' WHEN price < 100 THEN 'accessory' WHEN price < 500 THEN 'model_number'
+            ELSE 'exact_match' END AS reason
+FROM {v_offers} o JOIN {v_products} p ON p.product_key = o.product_key
+"""
+
+# which source was asked for which request, and whether it answered
+VIEWS["v_attempts"] = """
+SELECT DISTINCT d.request_id AS request_id, d.source AS source,
+       s_acctbal < 0 OR d.request_id LIKE '%Brand7 %' AS failed
+FROM {v_decisions} d JOIN {supplier} ON s_name = d.source
+"""
+
 VIEWS["v_stream"] = """
 SELECT event_id, ts AS observed_at, concat('user-', user_id) AS product_key, event_type AS source,
        value AS price, 'BYN' AS currency
