@@ -216,4 +216,4 @@ def ctes(*names: str) -> str:
     for name in ordered:
         body = VIEWS[name].format(**{r: r for r in _references(VIEWS[name])})
         parts.append(f"{name} AS ({body.strip()})")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"

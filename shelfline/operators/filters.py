@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.functions import codes, variants
 from shelfline.functions import vocabulary as v
@@ -82,7 +82,7 @@ def filter_valid_urls(df: DataFrame, hosts: list[str], path_pattern: str = "^/.+
             .filter(F.col("canonical_url").isNotNull()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no builtin for it."""
     return values.str.normalize("NFKC")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_SUBJECTS = ["prices"]
+_SUBJECTS = ["prices", "catalogs"]
 
 
 def all_registries():
