@@ -205,6 +205,11 @@ def match_colors(requested: Column, candidate: Column) -> Column:
     return F.when(F.coalesce(requested, F.lit("")) == "", F.lit(True)).otherwise(F.coalesce(hit, F.lit(False)))
 
 
+def marketing_key(title: Column) -> Column:
+    """Key of the explicit colour wording: the variant, or the family of a base colour."""
+    return let(color_identity(title), lambda c: F.when(c["confidence"] == "base_color", c["family"]).otherwise(c["variant"]))
+
+
 def without_sim(title: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(title, v.SIM_WORDS, " "), r"(?U)\(\s*\)", " ")
     return F.btrim(squeeze(bare), F.lit(" ,-/"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_SUBJECTS = ["prices", "catalogs"]
+_SUBJECTS = ["prices", "catalogs", "titles"]
 
 
 def all_registries():
