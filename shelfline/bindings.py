@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -43,6 +43,12 @@ SELECT p_partkey,
 FROM {part}
 """
 
+# requests of a comparison: the first card of every model name and type, so pairs grow with the cards
+VIEWS["v_wanted"] = """
+SELECT p.product_key AS request_id, p.title AS wanted_title, p.model AS model, p.p_type AS p_type, p.brand AS brand
+FROM {v_products} p JOIN (SELECT min(p_partkey) AS first_card FROM {v_products} GROUP BY model, p_type) f ON f.first_card = p.p_partkey
+"""
+
 # line = one observed offer, supplier = source
 VIEWS["v_offers"] = """
 SELECT p.product_key, s_name AS source,
@@ -217,3 +223,8 @@ def ctes(*names: str) -> str:
         body = VIEWS[name].format(**{r: r for r in _references(VIEWS[name])})
         parts.append(f"{name} AS ({body.strip()})")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+def now() -> Column:
+    """The reference instant as a column; built on demand because it needs a running session."""
+    return F.expr(NOW_NTZ)

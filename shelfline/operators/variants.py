@@ -14,6 +14,7 @@ from shelfline.functions import colors, variants
 from shelfline.functions import vocabulary as v
 from shelfline.functions.text import fold, lookup, natural_key
 from shelfline.operators.pricing import first_per
+from shelfline.session import reliable_checkpoint, spread
 
 
 def group_by_key(cards: DataFrame, key: Column, title: Column, scope: Sequence[str] = (), position: str = "position") -> DataFrame:
@@ -64,8 +65,9 @@ def _model_sources(cards: DataFrame, title: str, scope: Sequence[str]) -> DataFr
 
     It does if the stem occurs with two different parentheses, or also without one.
     """
-    staged = cards.withColumns({"_own": variants.group_key(variants.model_title(F.col(title))), "_p": variants.parenthesis_stem(F.col(title))})
-    staged = staged.withColumn("_stem_key", variants.group_key(variants.model_title(F.col("_p.stem"))))
+    # three consumers read the derived keys, so they are computed once and cut off here
+    staged = spread(cards).withColumns({"_own": variants.group_key(variants.model_title(F.col(title))), "_p": variants.parenthesis_stem(F.col(title))})
+    staged = reliable_checkpoint(staged.withColumn("_stem_key", variants.group_key(variants.model_title(F.col("_p.stem")))))
     stems = staged.filter("_p IS NOT NULL").groupBy(*scope, "_stem_key").agg(F.count_distinct("_p.suffix").alias("_n"))
     bare = staged.select(*scope, F.col("_own").alias("_stem_key"), F.lit(True).alias("_bare")).distinct()
     proven = stems.join(bare, [*scope, "_stem_key"], "left").filter((F.col("_n") >= 2) | F.col("_bare")).select(
@@ -76,16 +78,17 @@ def _model_sources(cards: DataFrame, title: str, scope: Sequence[str]) -> DataFr
 
 def group_model_variants(cards: DataFrame, scope: Sequence[str] = (), title: str = "title") -> DataFrame:
     """Colours and memories of one physical model as one group."""
-    staged = _model_sources(cards, title, scope).withColumn("_model", variants.model_title(F.col("_source")))
+    staged = reliable_checkpoint(_model_sources(cards, title, scope).withColumn("_model", variants.model_title(F.col("_source"))))
     return group_by_key(staged, variants.group_key(F.col("_model")), F.col("_model"), scope).drop("_source", "_model")
 
 
 def group_display_models(cards: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Groups of a selection screen: cleaned titles, store codes dropped where sibling cards justify it."""
-    staged = cards.withColumn("_shown", variants.display_title(F.col("title")))
+    staged = spread(cards).withColumn("_shown", variants.display_title(F.col("title")))
     staged = staged.withColumn("_sku", variants.trailing_sku(F.col("_shown")))
     key = lambda t: variants.group_key(variants.display_title(t))
-    staged = staged.withColumns({"_stem_key": key(F.col("_sku.stem")), "_bare_key": F.when(F.col("_sku").isNull(), key(F.col("_shown")))})
+    staged = reliable_checkpoint(staged.withColumns({
+        "_stem_key": key(F.col("_sku.stem")), "_bare_key": F.when(F.col("_sku").isNull(), key(F.col("_shown")))}))
     codes = staged.filter("_sku IS NOT NULL").groupBy(*scope, "_stem_key").agg(
         F.count_distinct("_sku.code").alias("_codes"), F.bool_or(colors.selection_color_key(F.col("_sku.stem")).isNotNull()).alias("_colored"))
     bare = staged.filter("_bare_key IS NOT NULL").select(*scope, F.col("_bare_key").alias("_stem_key"), F.lit(True).alias("_bare")).distinct()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_SUBJECTS = ["prices", "catalogs", "titles"]
+_SUBJECTS = ["prices", "catalogs", "titles", "feeds", "searches"]
 
 
 def all_registries():

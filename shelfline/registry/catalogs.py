@@ -12,7 +12,6 @@ from shelfline.sources import store
 
 registry = Registry()
 query = registry.query
-NOW = F.expr(b.NOW_NTZ)
 CATALOG = ("v_catalog_offers", "v_catalog_products")
 FEED = ("v_catalog_offers", "v_catalog_products", "v_feed_items")
 
@@ -121,7 +120,7 @@ WITH marked AS (SELECT *, available AND source IN ({SNAPSHOT})
 SELECT * REPLACE (available AND NOT deactivated AS available,
   CASE WHEN deactivated THEN {b.NOW_SQL} ELSE updated_at END AS updated_at) FROM marked""", FEED)
 def _(spark, sf):
-    return catalog.deactivate_missing(stored(spark, sf), feed(spark, sf), snapshot_sources(spark, sf), NOW)
+    return catalog.deactivate_missing(stored(spark, sf), feed(spark, sf), snapshot_sources(spark, sf), b.now())
 
 
 @query("missing_offers", """
@@ -169,7 +168,7 @@ metrics AS (SELECT (SELECT count(*) FROM v_catalog_products) AS product_count, c
 
 
 def metrics(spark, sf):
-    return catalog.catalog_metrics(products(spark, sf), stored(spark, sf), NOW, 8760.0)
+    return catalog.catalog_metrics(products(spark, sf), stored(spark, sf), b.now(), 8760.0)
 
 
 @query("catalog_metrics", f"WITH {METRICS} SELECT * FROM metrics", CATALOG)
@@ -203,13 +202,13 @@ def _(spark, sf):
 SELECT p.*, latest AS latest_update FROM v_catalog_products p JOIN ({LATEST}) USING (product_key)
 WHERE latest < {b.NOW_SQL} - INTERVAL 7920 HOUR ORDER BY latest, lower(title), product_key LIMIT 50""", CATALOG)
 def _(spark, sf):
-    return catalog.stale_products(products(spark, sf), stored(spark, sf), NOW, 7920.0, limit=50)
+    return catalog.stale_products(products(spark, sf), stored(spark, sf), b.now(), 7920.0, limit=50)
 
 
 @query("stale_count", f"""
 SELECT count(*) AS stale_products FROM ({LATEST}) WHERE latest < {b.NOW_SQL} - INTERVAL 7920 HOUR""", CATALOG)
 def _(spark, sf):
-    return catalog.stale_count(products(spark, sf), stored(spark, sf), NOW, 7920.0)
+    return catalog.stale_count(products(spark, sf), stored(spark, sf), b.now(), 7920.0)
 
 
 # a refresh run: the 2001 feed arrives, products of the largest size fail
@@ -260,7 +259,7 @@ SELECT w.*, CASE WHEN f THEN 'fresh' WHEN product_key IN (SELECT concat('product
 def _(spark, sf):
     wanted = b.view(spark, sf, "v_products").select("product_key", F.concat(F.lit("r-"), "product_key").alias("request_id"))
     live = feed(spark, sf).select(F.concat(F.lit("product-"), "external_id").alias("product_key"))
-    return catalog.route_requests(wanted, stored(spark, sf), live, NOW, 8000.0)
+    return catalog.route_requests(wanted, stored(spark, sf), live, b.now(), 8000.0)
 
 
 REVIEWS = """waiting AS (SELECT o.product_key, p.title AS product_title, o.match_candidate_key AS candidate_key,

@@ -8,7 +8,6 @@ from shelfline.registry.base import Registry
 
 registry = Registry()
 query = registry.query
-NOW = F.expr(b.NOW_NTZ)
 
 # the plausibility rule on ASCII titles
 PLAUSIBLE = """price > 0 AND CASE
@@ -50,7 +49,7 @@ def _(spark, sf):
 SELECT * FROM v_items WHERE available AND price IS NOT NULL AND trim(url) <> ''
 AND updated_at >= {b.NOW_SQL} - INTERVAL 24 HOUR""", ("v_items",))
 def _(spark, sf):
-    return filters.filter_fresh(b.view(spark, sf, "v_items"), NOW)
+    return filters.filter_fresh(b.view(spark, sf, "v_items"), b.now())
 
 
 @query("filter_live_products", f"""
@@ -59,7 +58,7 @@ SELECT * FROM v_catalog_products WHERE product_key IN (
        ("v_catalog_products", "v_items"))
 def _(spark, sf):
     current = b.view(spark, sf, "v_items").withColumn("product_key", F.concat(F.lit("product-"), "external_id"))
-    return filters.filter_live_products(b.view(spark, sf, "v_catalog_products"), current, NOW)
+    return filters.filter_live_products(b.view(spark, sf, "v_catalog_products"), current, b.now())
 
 
 @query("filter_price_outliers", f"WITH usable AS (SELECT * FROM v_offers WHERE available), {OUTLIERS} SELECT * FROM sane",
@@ -266,7 +265,7 @@ SELECT s.chat_id, s.product_key, s.title, s.query, s.last_notified_price, s.curr
 FROM v_subscriptions s LEFT JOIN lowest l ON l.product_key = s.product_key AND l.ck = lower(s.currency) WHERE s.active""",
        ("v_subscriptions", "v_offers"))
 def _(spark, sf):
-    return alerts.evaluate_alerts(b.view(spark, sf, "v_subscriptions"), offers(spark, sf), NOW)
+    return alerts.evaluate_alerts(b.view(spark, sf, "v_subscriptions"), offers(spark, sf), b.now())
 
 
 @query("toggle_alerts", f"""
@@ -289,4 +288,4 @@ SELECT chat_id, product_key,
 FROM decided""", ("v_subscriptions", "v_toggles"))
 def _(spark, sf):
     state = b.view(spark, sf, "v_subscriptions").withColumn("checked_at", F.lit(None).cast("timestamp_ntz"))
-    return alerts.toggle_alerts(state, b.view(spark, sf, "v_toggles"), NOW)
+    return alerts.toggle_alerts(state, b.view(spark, sf, "v_toggles"), b.now())

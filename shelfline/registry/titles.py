@@ -43,14 +43,18 @@ title_query("memory_features", """
 title_query("color_keys", """
   CASE WHEN title LIKE '%(Red)' THEN 'red' WHEN title LIKE '%(Dark Blue)' THEN 'dark_blue' WHEN title LIKE '%(Obsidian)' THEN 'black'
        WHEN title LIKE '%(Sky Blue)' THEN 'light_blue' END AS color_key,
-  CASE WHEN title LIKE '%(Red)' THEN 'red' WHEN title LIKE '%(Dark Blue)' THEN 'name:dark_blue' WHEN title LIKE '%(Obsidian)' THEN 'obsidian'
-       WHEN title LIKE '%(Sky Blue)' THEN 'sky_blue' END AS marketing_key,
   CASE WHEN title LIKE '%(Red)' THEN 'Red' WHEN title LIKE '%(Dark Blue)' THEN 'Dark Blue' WHEN title LIKE '%(Obsidian)' THEN 'Obsidian'
        WHEN title LIKE '%(Sky Blue)' THEN 'Sky Blue' END AS label,
   trim(regexp_replace(title, '\\((Red|Dark Blue|Obsidian|Sky Blue)\\)$', '')) AS without_color""",
-            color_key=colors.color_key, marketing_key=colors.marketing_key, label=colors.color_label,
+            color_key=colors.color_key, label=colors.color_label,
             without_color=colors.neutral_of_color)
 
+# without the phone wording only an explicit parenthesis or a closing alias counts
+title_query("marketing_colors", """
+  CASE WHEN title LIKE '%(Red)' THEN 'red' WHEN title LIKE '%(Dark Blue)' THEN 'name:dark_blue' WHEN title LIKE '%(Obsidian)' THEN 'obsidian'
+       WHEN title LIKE '%(Sky Blue)' THEN 'sky_blue' END AS marketing_key""",
+            marketing_key=lambda t: colors.marketing_key(F.regexp_replace(t, "^Apple iPhone", "device")))
+
 title_query("variant_features", """
   CASE WHEN title LIKE '%nano-SIM + eSIM%' THEN 'hybrid' WHEN title LIKE '%eSIM only%' THEN 'esim_only' WHEN title LIKE '%Dual SIM%' THEN 'dual_sim' END AS sim,
   CASE WHEN regexp_matches(title, '\\bGlobal\\b') THEN 'global' WHEN regexp_matches(title, '\\bEU\\b') THEN 'eu' WHEN regexp_matches(title, '\\bUSA\\b') THEN 'us' END AS region,
@@ -64,7 +68,7 @@ title_query("model_features", """
   CASE WHEN title LIKE 'Apple iPhone %' THEN regexp_extract(title, 'iPhone ([0-9]+)', 1) ELSE '' END AS numbers,
   CASE WHEN title LIKE 'Apple iPhone %' THEN regexp_extract(title, 'iPhone ([0-9]+)', 1) ELSE '' END AS generations,
   array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'),
-    x -> length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^[0-9]+gb$')))), '|') AS codes,
+    lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^[0-9]+gb$')))), '|') AS codes,
   regexp_matches(title, '[a-z0-9]\\+') AS has_plus""",
             numbers=lambda t: F.array_join(codes.model_numbers(t), "|"), generations=lambda t: F.array_join(codes.generation_numbers(t), "|"),
             codes=lambda t: F.array_join(codes.long_codes(t), "|"), has_plus=codes.has_plus)
@@ -99,19 +103,18 @@ def _(spark, sf):
     return built.select("product_key", "identity.brand", "identity.model", "identity.mpn", "identity.memory")
 
 
-# requests: every phone is wanted; candidates: the offers' titles of the same model name
 def wanted(spark, sf):
-    return titles(spark, sf).select(F.col("product_key").alias("request_id"), F.col("title").alias("wanted_title"), "model", "p_type")
+    return b.view(spark, sf, "v_wanted")
 
 
 def candidate_pairs(spark, sf):
-    cards = titles(spark, sf).select("title", "brand", "model", "p_type")
-    return wanted(spark, sf).join(cards, ["model", "p_type"])
+    cards = titles(spark, sf).select("product_key", "title", "model", "p_type")
+    return wanted(spark, sf).drop("brand").join(cards, ["model", "p_type"])
 
 
 @query("match_offers_to_reference")
 def _(spark, sf):
-    return compare.judge_pairs(candidate_pairs(spark, sf)).select("request_id", "wanted_title", "title", "brand", "reason", "confirmed")
+    return compare.judge_pairs(candidate_pairs(spark, sf)).select("request_id", "product_key", "wanted_title", "title", "reason", "confirmed")
 
 
 @query("variant_mismatches", """
@@ -123,12 +126,13 @@ WITH f AS (SELECT product_key, title, model, p_type,
   FROM v_products)
 SELECT r.product_key AS request_id, c.product_key, CASE WHEN r.condition <> c.condition THEN 'condition' WHEN r.memory <> c.memory THEN 'memory'
   WHEN r.region <> c.region THEN 'region' WHEN r.sim <> c.sim THEN 'sim' END AS reason
-FROM f r JOIN f c ON r.model = c.model AND r.p_type = c.p_type""", PRODUCTS)
+FROM f r JOIN v_wanted w ON w.request_id = r.product_key JOIN f c ON r.model = c.model AND r.p_type = c.p_type""", ("v_wanted",))
 def _(spark, sf):
     analysed = titles(spark, sf).select(
         "product_key", "model", "p_type", F.struct(*[build(F.col("title")).alias(n) for n, build in features.COMPARE_FEATURES.items()
                                                      if n in ("condition", "bundle", "mem_sig", "device", "connector", "voice", "display", "region", "sim")]).alias("f"))
-    left = analysed.select("model", "p_type", F.col("product_key").alias("request_id"), F.col("f").alias("r"))
+    left = analysed.select("model", "p_type", F.col("product_key").alias("request_id"), F.col("f").alias("r")).join(
+        wanted(spark, sf).select("request_id"), "request_id", "left_semi")
     return left.join(analysed, ["model", "p_type"]).select(
         "request_id", "product_key", compare.variant_reason(F.col("r"), F.col("f")).alias("reason"))
 
@@ -147,24 +151,24 @@ MATCH_COLORS_SQL = """
 SELECT a.product_key AS request_id, c.product_key, CASE WHEN a.color IS NULL THEN true WHEN c.color IS NULL THEN false
   WHEN a.color = 'blue' THEN c.color IN ('blue', 'Sky Blue') WHEN a.color = 'red' THEN c.color = 'red'
   ELSE a.color = c.color END AS matches
-FROM (SELECT product_key, brand, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
-        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)) a
-JOIN (SELECT product_key, brand, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
-        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)) c USING (brand)"""
+FROM (SELECT product_key, brand, v_products.p_type AS p_type, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
+        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)
+      WHERE product_key IN (SELECT request_id FROM v_wanted)) a
+JOIN (SELECT product_key, brand, v_products.p_type AS p_type, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
+        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)) c USING (brand, p_type)"""
 
 
-@query("match_colors", MATCH_COLORS_SQL, PRODUCTS)
+@query("match_colors", MATCH_COLORS_SQL, ("v_wanted",))
 def _(spark, sf):
     color = (F.when(F.col("model").startswith("red "), "red").when(F.col("model").startswith("blue "), "blue")
              .when(F.col("model").startswith("small "), "Obsidian").when(F.col("model").startswith("hot "), "Sky Blue"))
-    cards = titles(spark, sf).select("product_key", "brand", color.alias("color"))
-    judged = cards.select("color").distinct()
-    names = judged.select(F.col("color").alias("wanted")).join(judged.select(F.col("color").alias("shown")))
-    names = names.withColumn("matches", colors.match_colors(F.col("wanted"), F.col("shown")))
-    left = cards.select("brand", F.col("product_key").alias("request_id"), F.col("color").alias("wanted"))
-    pairs = left.join(cards, "brand")
-    return pairs.join(names, pairs["wanted"].eqNullSafe(names["wanted"]) & pairs["color"].eqNullSafe(names["shown"])).select(
-        "request_id", "product_key", "matches")
+    shown = titles(spark, sf).select("product_key", "brand", "p_type", color.alias("color"))
+    asked = wanted(spark, sf).select("request_id", "brand", "p_type", color.alias("wanted"))
+    pairs = asked.join(shown, ["brand", "p_type"])
+    # a pair of colour names is judged once, however many cards show it
+    judged = pairs.select("wanted", "color").distinct().withColumn("matches", colors.match_colors(F.col("wanted"), F.col("color")))
+    same = pairs["wanted"].eqNullSafe(judged["wanted"]) & pairs["color"].eqNullSafe(judged["color"])
+    return pairs.join(judged, same).select("request_id", "product_key", "matches")
 
 
 def cards(spark, sf):
@@ -189,7 +193,7 @@ def _(spark, sf):
 
 @query("memory_choices", f"""
 WITH m AS (SELECT model AS request_id, memory, count(*) AS cards FROM (SELECT *, {MEMORY_SQL} AS memory FROM v_products) GROUP BY ALL),
-keyed AS (SELECT *, list_transform(string_split(replace(memory, 'GB', ''), '/'), x -> CAST(x AS BIGINT)) AS sizes FROM m)
+keyed AS (SELECT *, list_transform(string_split(replace(memory, 'GB', ''), '/'), lambda x: CAST(x AS BIGINT)) AS sizes FROM m)
 SELECT request_id, memory, cards, row_number() OVER (PARTITION BY request_id ORDER BY sizes DESC) AS place,
   count(*) OVER (PARTITION BY request_id) > 1 AS has_choice FROM keyed""", PRODUCTS)
 def _(spark, sf):
@@ -267,14 +271,15 @@ def _(spark, sf):
 
 
 @query("code_set_algebra", """
-WITH c AS (SELECT product_key, brand, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM v_products)
-SELECT a.product_key AS left_key, c.product_key AS right_key, len(list_filter(a.t, x -> NOT list_contains(c.t, x))) = 0 AS is_subset,
+WITH c AS (SELECT product_key, model, p_type, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM v_products)
+SELECT a.product_key AS left_key, c.product_key AS right_key, len(list_filter(a.t, lambda x: NOT list_contains(c.t, x))) = 0 AS is_subset,
   NOT list_has_any(a.t, c.t) AS is_disjoint, CAST(len(list_intersect(a.t, c.t)) AS INT) AS shared
-FROM c a JOIN c ON a.brand = c.brand""", PRODUCTS)
+FROM c a JOIN c ON a.model = c.model AND a.p_type = c.p_type WHERE a.product_key IN (SELECT request_id FROM v_wanted)""", ("v_wanted",))
 def _(spark, sf):
-    sets = titles(spark, sf).select("product_key", "brand", F.array_distinct(text.tokens(F.col("title"))).alias("t"))
-    left = sets.select("brand", F.col("product_key").alias("left_key"), F.col("t").alias("l"))
-    return left.join(sets, "brand").select("left_key", F.col("product_key").alias("right_key"),
+    sets = titles(spark, sf).select("product_key", "model", "p_type", F.array_distinct(text.tokens(F.col("title"))).alias("t"))
+    left = wanted(spark, sf).select("model", "p_type", F.col("request_id").alias("left_key"),
+                                    F.array_distinct(text.tokens(F.col("wanted_title"))).alias("l"))
+    return left.join(sets, ["model", "p_type"]).select("left_key", F.col("product_key").alias("right_key"),
                                            (F.size(F.array_except("l", "t")) == 0).alias("is_subset"),
                                            (~F.arrays_overlap("l", "t")).alias("is_disjoint"),
                                            F.size(F.array_intersect("l", "t")).alias("shared"))

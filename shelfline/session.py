@@ -59,3 +59,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows with costly expressions over all shuffle partitions.
+
+    Adaptive execution sizes partitions by bytes; rows that are small but slow to compute would end up
+    in a single task. A fixed number of partitions is left alone by it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
