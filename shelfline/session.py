@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(
@@ -68,3 +68,12 @@ def spread(df: DataFrame) -> DataFrame:
     in a single task. A fixed number of partitions is left alone by it.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def evaluate_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Select kept and computed columns so that later filters read the results instead of repeating the work.
+
+    A filter on a computed column is normally pushed below the projection and evaluates the expression
+    again. It cannot pass a generator, so the values are produced by one row of ``inline``.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
