@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_SUBJECTS = ["prices", "catalogs", "titles", "feeds", "searches", "webpages"]
+_SUBJECTS = ["prices", "catalogs", "titles", "feeds", "searches", "webpages", "streams"]
 
 
 def all_registries():
