@@ -252,16 +252,18 @@ def _(spark, sf):
         "product_key", "title", F.lit("Apple iPhone").alias("query"), F.lit("").alias("url")))
 
 
-@query("filter_query_generation", """
-WITH pairs AS (SELECT r.p_size % 30 AS request_id, concat('iphone ', r.p_size % 30) AS query, product_key, title
-  FROM (SELECT DISTINCT p_size % 30 AS p_size FROM part) r JOIN v_products p ON p.p_size % 30 >= r.p_size % 30 AND p.p_type = 'ECONOMY'),
-marked AS (SELECT *, regexp_extract(title, 'iPhone ([0-9]+)', 1) = concat('', request_id) AS fits FROM pairs)
+# every phone answers two requests: one for its size number and one for a shifted number
+GENERATION_PAIRS = """
+SELECT p_size % 30 AS request_id, concat('iphone ', p_size % 30) AS query, product_key, title FROM {v_products} WHERE p_type = 'ECONOMY'
+UNION ALL SELECT (p_size + 7) % 30, concat('iphone ', (p_size + 7) % 30), product_key, title FROM {v_products} WHERE p_type = 'ECONOMY'"""
+
+
+@query("filter_query_generation", f"""
+WITH marked AS (SELECT *, regexp_extract(title, 'iPhone ([0-9]+)', 1) = concat('', request_id) AS fits
+  FROM ({GENERATION_PAIRS.format(v_products='v_products')}))
 SELECT request_id, query, product_key, title FROM marked m WHERE fits OR request_id NOT IN (SELECT request_id FROM marked WHERE fits)""", PRODUCTS)
 def _(spark, sf):
-    pairs = b.from_sql(spark, sf, """
-        SELECT r.n AS request_id, concat('iphone ', r.n) AS query, product_key, title
-        FROM (SELECT DISTINCT p_size % 30 AS n FROM {part}) r JOIN {v_products} p ON p.p_size % 30 >= r.n AND p.p_type = 'ECONOMY'""")
-    return filters.filter_query_generation(pairs)
+    return filters.filter_query_generation(b.from_sql(spark, sf, GENERATION_PAIRS))
 
 
 @query("filter_accessories", """
