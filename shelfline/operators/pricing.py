@@ -64,7 +64,11 @@ def filter_price_outliers(offers: DataFrame, cohort: Sequence[str] = ("product_k
     floors = (medians.groupBy(*cohort).agg(F.median("_median").alias("_reference"), F.count(F.lit(1)).alias("_voters"))
               .filter(F.col("_voters") >= 2)
               .select(*cohort, (F.col("_reference") * ratio).alias("_floor")))
-    kept = valid.join(floors, list(cohort), "left")
+    # Joined on copies of the cohort columns: the ranking that usually follows then needs its own shuffle, so
+    # adaptive execution may split a hot cohort here, and the ranking is cut down before that shuffle.
+    copies = [f"_of_{name}" for name in cohort]
+    keyed = valid.withColumns({copy: F.col(name) for copy, name in zip(copies, cohort)})
+    kept = keyed.join(floors.withColumnsRenamed(dict(zip(cohort, copies))), copies, "left")
     return kept.filter(F.col("_floor").isNull() | (F.col(price) >= F.col("_floor"))).select(*offers.columns)
 
 
