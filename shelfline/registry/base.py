@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.bindings import ctes
+from shelfline.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,12 @@ class Registry:
     def query(self, name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
         def add(fn: Query) -> Query:
             assert name not in self.queries, name
-            self.queries[name] = fn
+
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return fn(spark, sf_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 text = sql.strip()
                 if views:
