@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfline.llm.common import table
+from shelfline.llm.mixing import taken_words
 from shelfline.llm.sharding import shard_by_sampled_splitters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,8 @@ def query(name: str, sql: str | None = None):
 def sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_sampled_splitters(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_mixing_blocks")
+def mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
