@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
 from shelfline.llm.mixing import taken_words
 from shelfline.llm.sharding import shard_by_sampled_splitters
@@ -33,3 +35,8 @@ def sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing_blocks")
 def mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_byte_bpe_matrices")
+def byte_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
