@@ -11,6 +11,7 @@ from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
 from shelfline.llm.mixing import taken_words
 from shelfline.llm.sharding import shard_by_sampled_splitters
+from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,8 @@ def byte_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_distinct_token_counts")
 def distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+@query("op7_simhash_covering")
+def simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
