@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
 from shelfline.llm.mixing import taken_words
+from shelfline.llm.quality import judge_quality
 from shelfline.llm.sharding import shard_by_sampled_splitters
 from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.token_counts import token_counts
@@ -52,3 +53,9 @@ def distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_covering")
 def simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_robust_outliers")
+def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
