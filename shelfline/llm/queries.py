@@ -14,6 +14,7 @@ from shelfline.llm.quality import judge_quality
 from shelfline.llm.sharding import shard_by_sampled_splitters
 from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.token_counts import token_counts
+from shelfline.llm.topk import top_k_of_every_hundredth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +60,18 @@ def simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op5_segment_topk", """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.vec, x.vec)::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.vec) = len(x.vec) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""")
+def segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_of_every_hundredth(table(spark, sf_dir, "embeddings"))
