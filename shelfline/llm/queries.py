@@ -11,6 +11,7 @@ from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
 from shelfline.llm.mixing import taken_words
 from shelfline.llm.quality import judge_quality
+from shelfline.llm.secrets import findings
 from shelfline.llm.sharding import shard_by_sampled_splitters
 from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.token_counts import token_counts
@@ -75,3 +76,8 @@ FROM s QUALIFY rank <= 10
 """)
 def segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_of_every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_forest_secrets")
+def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(table(spark, sf_dir, "documents"))
