@@ -54,7 +54,7 @@ def distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_simhash_covering")
 def simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op3_robust_outliers")

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shelfline.llm.common import stored
 from shelfline.llm.components import components
@@ -56,15 +56,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    """doc_id, row_hash (of all columns) and fp (the 64 bits as a signed long)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_hash", T.LongType()),
+                           T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text or b"") for text in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=schema.names)
+            values = [fingerprint(text or b"") for text in batch.column(2).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(*docs.columns).alias("row_hash"), "text").mapInArrow(run, schema)
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -158,7 +159,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row per document: doc_id, row_hash, fingerprint (16 hex digits), component_id."""
     printed = stored(fingerprints(docs), "fingerprints")
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct = stored(distinct, "distinct-fingerprints")
@@ -168,4 +169,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_print = named.join(names, "component").select(F.col("fp").alias("of"), "component_id")
     return printed.join(by_print, F.col("fp") == F.col("of")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "row_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of every component: the one with the smallest id (of equal ids, the one with the smallest row hash)."""
+    found = near_duplicates(docs, radius)
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")).select("first.*")
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(*columns).alias("h"))
+    joined = rows.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left_semi")
+    once = joined.withColumn("copy", F.row_number().over(Window.partitionBy("d", "h").orderBy("d"))).filter("copy = 1")
+    return once.select("row.*")
