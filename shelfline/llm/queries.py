@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
+from shelfline.llm.lm_scoring import score_documents
 from shelfline.llm.mixing import taken_words
 from shelfline.llm.quality import judge_quality
 from shelfline.llm.secrets import findings
@@ -81,3 +82,9 @@ def segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_forest_secrets")
 def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents"))
+
+
+@query("op4_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
