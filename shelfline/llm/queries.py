@@ -11,6 +11,7 @@ from shelfline.llm.bpe import encode_documents
 from shelfline.llm.common import table
 from shelfline.llm.lm_scoring import score_documents
 from shelfline.llm.mixing import taken_words
+from shelfline.llm.pii import pseudonymise
 from shelfline.llm.quality import judge_quality
 from shelfline.llm.secrets import findings
 from shelfline.llm.sharding import shard_by_sampled_splitters
@@ -88,3 +89,8 @@ def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return score_documents(table(spark, sf_dir, "documents"), good)
+
+
+@query("op1_keyed_surrogates")
+def keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_surrogates", "text")
