@@ -29,8 +29,10 @@ CARD = r"(?<![\w])[0-9](?:[ \-]?[0-9]){12,18}(?!\w)"
 MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur"]
 FEMALE_TITLES = ["Mrs", "Ms", "Frau", "Señora", "Madame"]
 TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
-NAME = rf"(?<=\b{TITLE})\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"\b{TITLE}\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 ENTITY = "|".join([EMAIL, IPV4, PHONE, CARD, NAME])
+#: Every entity has a digit, an at sign or a title; most texts have none of these and need no more than this cheap look.
+HINT = rf"[0-9]|\b{TITLE}"
 #: Syllables and endings of made-up names, by script (fixed values).
 SYLLABLES = {"latin": ["bel", "cor", "dan", "fen", "gal", "hol", "jor", "kel", "lam", "mar", "nor", "pal", "ros", "sal", "tor", "ven"],
              "cyrillic": ["бел", "вор", "гал", "дан", "зор", "кал", "лад", "мар", "нов", "пол", "рад", "сев", "тар", "фед", "хар", "чер"]}
@@ -46,21 +48,26 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.transform(figures, lambda c: c.cast("int")), doubled), F.lit(0), lambda a, b: a + b)
 
 
+def has_entity(text: Column) -> Column:
+    return F.coalesce((text.contains("@") | text.rlike(HINT)) & text.rlike(ENTITY), F.lit(False))
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """One row per entity part of every distinct (row): row_hash, k (number of the match in the text), part, value, type, canonical."""
-    cut = docs.select(F.xxhash64(*docs.columns).alias("row_hash"), "text").filter(F.col("text").rlike(ENTITY)).distinct()
-    cut = cut.select("row_hash", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("found"), F.split("text", ENTITY, -1).alias("gaps"))
-    rows = cut.select("row_hash", "gaps", F.posexplode("found").alias("k", "value"))
+    cut = docs.select(F.xxhash64(*docs.columns).alias("row_hash"), "text").filter(has_entity(F.col("text"))).distinct()
+    cut = cut.select("row_hash", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("found"))
+    rows = cut.select("row_hash", F.posexplode("found").alias("k", "value"))
     digits = F.regexp_replace("value", "[^0-9]", "")
-    title = F.regexp_extract(F.right(F.get("gaps", F.col("k")), F.lit(12)), r"(\p{L}+)\.? $", 1)
+    title = F.regexp_extract("value", rf"^{TITLE}", 0)
     kind = (F.when(F.col("value").contains("@"), "email")
             .when(F.col("value").rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ipv4")
-            .when(F.col("value").rlike(r"^\p{L}"), "name")
+            .when(F.char_length(title) > 0, "name")
             .when(F.col("value").rlike(r"^[+(]"), "phone")
             .when(luhn_sum(digits) % 10 == 0, "card"))
-    typed = rows.select("row_hash", "k", "value", kind.alias("type"), title.isin(MALE_TITLES).alias("male"), digits.alias("digits")).filter("type IS NOT NULL")
-    # the last word of a name is the family name
-    parts = F.when(F.col("type") == "name", F.split("value", " ")).otherwise(F.array("value"))
+    male = F.regexp_extract("value", r"^\p{L}+", 0).isin(MALE_TITLES)
+    typed = rows.select("row_hash", "k", "value", kind.alias("type"), male.alias("male"), digits.alias("digits")).filter("type IS NOT NULL")
+    # a title stays; the last word of a name is the family name
+    parts = F.when(F.col("type") == "name", F.slice(F.split("value", " "), 2, 9)).otherwise(F.array("value"))
     typed = typed.withColumn("n", F.size(parts)).select("*", F.posexplode(parts).alias("part", "piece"))
     script = F.when(F.col("piece").rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     named = F.concat(script, F.when(F.col("part") == F.col("n") - 1, "-family").when(F.col("male"), "-m").otherwise("-f"))
@@ -87,7 +94,7 @@ def surrogate(key: str) -> tuple[Column, Column]:
     octet = lambda o, i: (F.when(F.col("attempt") > 8, number(i) % 254 + 1).when(F.char_length(o) == 1, number(i) % 9 + 1)
                           .when(F.char_length(o) == 2, number(i) % 90 + 10).otherwise(number(i) % 156 + 100).cast("string"))
     ipv4 = F.array_join(F.transform(F.split("canonical", r"\."), octet), ".")
-    # country code and area stay digits of their own; the country code is kept
+    # the first digit, which begins the country or area code, is kept
     phone = F.array_join(F.transform(characters, lambda c, i: F.when(i == 0, c).otherwise(character(c, i))), "")
     body = F.array_join(F.transform(F.slice(characters, F.lit(1), F.size(characters) - 1), lambda c, i: F.when(i == 0, c).otherwise(character(c, i))), "")
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
@@ -150,11 +157,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     replaced = found.join(pairs, (F.col("type") == F.col("s_type")) & (F.col("canonical") == F.col("s_canonical"))).withColumn("new", written())
     places = replaced.groupBy("row_hash", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda s: s["new"]), " ").alias("new"))
     texts = places.groupBy(F.col("row_hash").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("k", "new"))).alias("news"))
-    has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
+    has = has_entity(F.col("text"))
     suspects = docs.filter(has).select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("row_hash"))
     joined = suspects.join(texts, F.col("row_hash") == F.col("of"), "left").select(
         "row", "news", F.regexp_extract_all("row.text", F.lit(ENTITY), F.lit(0)).alias("found"), F.split("row.text", ENTITY, -1).alias("gaps"))
-    values = F.transform("found", lambda v, k: F.coalesce(F.element_at("news", k), v))
+    title = lambda v: F.regexp_extract(v, rf"^{TITLE}", 0)
+    values = F.transform("found", lambda v, k: F.coalesce(F.concat(title(v), F.element_at("news", k)), v))
     text = F.array_join(F.flatten(F.zip_with("gaps", F.concat(values, F.array(F.lit(""))), lambda gap, value: F.array(gap, value))), "")
     changed = joined.select(*[F.when(F.col("news").isNull(), F.col("row.text")).otherwise(text).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns],
                             F.coalesce(F.size(F.map_keys("news")), F.lit(0)).cast("long").alias("n_surrogates"))
