@@ -191,7 +191,8 @@ def mix_blocks(places: DataFrame) -> DataFrame:
     sources = places.groupBy("rank").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     slots = mix_slots(sources).withColumnsRenamed({"rank": "slot_rank", "block": "slot_block"})
     pieces = pieces_of(places)
-    joined = pieces.join(slots, (F.col("rank") == F.col("slot_rank")) & (F.col("block") == F.col("slot_block")))
+    # the planner takes slots for as small as the plan they are exploded from, and would broadcast them
+    joined = pieces.join(slots.hint("merge"), (F.col("rank") == F.col("slot_rank")) & (F.col("block") == F.col("slot_block")))
     to_word = F.least(F.col("to_word"), F.col("words"))
     offset = F.col("block") * BLOCK_WORDS - F.col("start")
     return joined.filter(to_word > F.col("from_word")).select(
