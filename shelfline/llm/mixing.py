@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelfline.llm.common import stored, words_of
+from shelfline.llm.common import WORD, stored, words_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -62,19 +62,20 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def chained(docs: DataFrame) -> DataFrame:
     """Place of every document in its source's stream of words: adds rank, run, seq (unique together) and start."""
-    sized = docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "run": F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int")})
-    sized = stored(sized.select("doc_id", "source", "size", "run"), "mix-sizes")
+    sized = docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "run": F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int"),
+                              "row_hash": F.xxhash64(*docs.columns)})
+    sized = stored(sized.select("doc_id", "row_hash", "source", "size", "run"), "mix-sizes")
     runs = sized.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     targets = stored(source_targets(runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))), "mix-targets")
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows per source
     offsets = runs.withColumn("run_start", F.coalesce(F.sum("run_size").over(before), F.lit(0)))
     offsets = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(
         targets["source"].alias("of"), F.col("run").alias("of_run"), "run_start", "rank", "source_size", "target")
-    in_run = Window.partitionBy("source", "run").orderBy("doc_id", "size")
+    in_run = Window.partitionBy("source", "run").orderBy("doc_id", "row_hash")
     placed = sized.withColumns({"seq": F.row_number().over(in_run),
                                 "in_run": F.sum("size").over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     return placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("run") == F.col("of_run"))).select(
-        "doc_id", "source", "size", "run", "seq", "rank", "source_size", "target", (F.col("run_start") + F.col("in_run")).alias("start"))
+        "doc_id", "row_hash", "source", "size", "run", "seq", "rank", "source_size", "target", (F.col("run_start") + F.col("in_run")).alias("start"))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False, rounds: int = 4) -> np.ndarray:
@@ -206,3 +207,25 @@ def taken_words(docs: DataFrame) -> DataFrame:
         F.sum(F.col("doc_to") - F.col("doc_from")).alias("taken"))
     return places.join(taken, (F.col("rank") == F.col("r")) & (F.col("run") == F.col("u")) & (F.col("seq") == F.col("s")), "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: one row per document and epoch in which the mix takes of it, with the columns of docs.
+
+    The text is the whole text where all its words are taken, else the taken words in order, with the white space after each."""
+    places = stored(chained(docs), "mix-places")
+    taken = mix_blocks(places).groupBy("rank", "run", "seq", "epoch").agg(
+        F.sum(F.col("doc_to") - F.col("doc_from")).alias("words"), F.sort_array(F.collect_list(F.struct("doc_from", "doc_to"))).alias("ranges"))
+    keys = places.select(F.col("rank").alias("r"), F.col("run").alias("u"), F.col("seq").alias("s"), F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), "size")
+    taken = taken.join(keys, (F.col("rank") == F.col("r")) & (F.col("run") == F.col("u")) & (F.col("seq") == F.col("s"))).select("d", "h", "size", "words", "ranges")
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("of_d"), F.xxhash64(*columns).alias("of_h"))
+    # repeated rows are taken each on their own account, so one of them stands for all here
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("of_d", "of_h").orderBy("of_d"))).filter("copy = 1")
+    joined = rows.join(taken, F.col("of_d").eqNullSafe(F.col("d")) & (F.col("of_h") == F.col("h")))
+    words = F.regexp_extract_all("row.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = joined.select("row", F.when(F.col("words") == F.col("size"), F.array("row.text")).otherwise(words).alias("parts"),
+                        F.when(F.col("words") == F.col("size"), F.lit(None)).otherwise(F.col("ranges")).alias("ranges"))
+    part = F.flatten(F.transform("ranges", lambda r: F.slice("parts", (r["doc_from"] + 1).cast("int"), (r["doc_to"] - r["doc_from"]).cast("int"))))
+    text = F.array_join(F.coalesce(part, F.col("parts")), "")
+    return cut.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
