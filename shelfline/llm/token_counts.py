@@ -20,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelfline.llm.common import uniform
+from shelfline.llm.common import stored, uniform
 
-COMMON = 65_536
+COMMON = 1 << 18
 COMMON_CHARS = 64
 #: Documents sampled, about, to find the common pre-tokens.
-SAMPLE_DOCUMENTS = 4_000
+SAMPLE_DOCUMENTS = 20_000
 SPACE = "▁"  # how the model writes a space
 #: Pre-tokens that a task counts at a time.
 COUNT_BATCH = 50_000
@@ -94,8 +95,15 @@ def common_counts(docs: DataFrame, model) -> dict[str, int]:
 
     rows = docs.count()
     sample = docs.filter(uniform(F.col("doc_id"), F.lit("common")) * F.lit(float(max(rows, 1))) < SAMPLE_DOCUMENTS).select("text")
-    counted = sample.mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = [r.token for r in counted.orderBy(F.desc("n"), "token").limit(COMMON).collect()]
+    counted = stored(sample.mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
+    # the least frequency that no more than COMMON pre-tokens reach; one row per frequency
+    least, reached = None, 0
+    for level in counted.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():
+        reached += level.tokens
+        if reached > COMMON:
+            break
+        least = level.n
+    top = [] if least is None else [r.token for r in counted.filter(F.col("n") >= least).select("token").collect()]
     return dict(zip(top, count_pieces(processor_for(model.value), top).tolist(), strict=True))
 
 
@@ -131,7 +139,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 counts.append(known)
                 if len(row) > COUNT_BATCH or i == len(texts) - 1:
                     at = pa.array(row, pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(3)] + [pa.array(tokens, pa.string()), pa.array(counts, pa.int64())],
+                    # the size goes with the document's own row only
+                    size = pc.if_else(pa.array([t is None for t in tokens]), batch.column(2).take(at), pa.scalar(None, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), size] + [pa.array(tokens, pa.string()), pa.array(counts, pa.int64())],
                                                      names=fields.names)
                     row, tokens, counts = [], [], []
 
@@ -152,7 +162,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     source = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     spread = source.mapInArrow(reduced, fields).repartition(F.coalesce(F.xxhash64("token"), F.xxhash64("doc_id", "digest"))).sortWithinPartitions("token")
-    totals = spread.mapInArrow(counted, sums).groupBy("doc_id", "digest", "n_bytes").agg(F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+    totals = spread.mapInArrow(counted, sums).groupBy("doc_id", "digest").agg(F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
     per_copy = F.expr("tokens div copies")
     return totals.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         "doc_id", "n_bytes", per_copy.alias("n_tokens"), (per_copy > limit).alias("over_limit"))
