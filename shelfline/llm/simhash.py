@@ -32,6 +32,8 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 BUCKET_ROWS = 4096
+#: With so few free positions a bucket has at most 256 fingerprints and is compared in any case.
+COMPARED_BITS = 8
 #: Shingles of one text that are hashed at a time.
 SHINGLE_CHUNK = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -84,9 +86,10 @@ def signed(mask: int) -> int:
 def bucketed(rows: DataFrame, cases: dict[int, list[int]]) -> DataFrame:
     """rows (fp, kept): one row per row and mask that extends what it keeps; kept becomes the wider mask.
 
-    cases: the masks to add, by the mask kept so far (a constant of the method, not data)."""
-    widened = F.create_map(*[x for kept, masks in cases.items() for x in (F.lit(signed(kept)), F.array(*[F.lit(signed(kept | m)) for m in masks]))])
-    return rows.select("fp", F.explode(F.element_at(widened, F.col("kept"))).alias("kept"))
+    cases: the masks to add, by the mask kept so far: a constant of the method of at most 31 * 31 rows, whatever the data."""
+    table = rows.sparkSession.createDataFrame([(signed(kept), [signed(kept | m) for m in masks]) for kept, masks in cases.items()],
+                                              "case long, wider array<bigint>")
+    return rows.join(F.broadcast(table), F.col("kept") == F.col("case")).select("fp", F.explode("wider").alias("kept"))
 
 
 def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +150,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         sizes = keyed.groupBy("kept", "key").agg(F.count("*").alias("n")).filter("n > 1")
         sized = keyed.join(sizes, ["kept", "key"])
         sized = stored(sized, "buckets")
-        links = sized.filter(F.col("n") <= BUCKET_ROWS).select("kept", "key", "fp").repartition("kept", "key").sortWithinPartitions("kept", "key", "fp").mapInArrow(
+        large = (F.col("n") > BUCKET_ROWS) & (F.bit_count("kept") < 64 - COMPARED_BITS)
+        links = sized.filter(~large).select("kept", "key", "fp").repartition("kept", "key").sortWithinPartitions("kept", "key", "fp").mapInArrow(
             lambda batches: bucket_links(batches, radius), LINKS)
         found = links if found is None else found.unionByName(links)
-        large = sized.filter(F.col("n") > BUCKET_ROWS)
-        kept_masks = [row.kept % (1 << 64) for row in large.select("kept").distinct().collect()]  # at most 31, then 31 * 31
+        rows = sized.filter(large).select("fp", "kept").distinct()
+        kept_masks = [row.kept % (1 << 64) for row in rows.select("kept").distinct().collect()]  # at most 31, then 31 * 31
         if not kept_masks:
             return found
         cases = {kept: covering_masks([p for p in range(64) if not kept >> p & 1], radius) for kept in kept_masks}
-        rows = large.select("fp", "kept").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
