@@ -102,7 +102,7 @@ def parse_price(x: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(x, r"(?U)[\s  ]+", ""), ",", ".")
     number = F.regexp_extract(digits, r"\d[\d.]*", 0)
     number = F.regexp_replace(number, r"\.(?=.*\.)", "")
-    return number.try_cast("decimal(18,4)").cast("double")
+    return number.try_cast("double")
 
 
 def finite(price: Column) -> Column:
@@ -136,6 +136,6 @@ def natural_key(x: Column) -> Column:
     runs = F.regexp_extract_all(fold(x), F.lit(r"(?U)\d+|\D+"), F.lit(0))
     return F.transform(runs, lambda t: F.when(
         t.rlike(r"(?U)^\d+$"),
-        F.struct(F.lit(1).alias("kind"), t.try_cast("decimal(38,0)").alias("number"), F.lit("").alias("text")),
-    ).otherwise(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("decimal(38,0)").alias("number"),
-                         squeeze(t).alias("text"))))
+        # of two numbers without leading zeros the longer is larger, whatever their length
+        F.struct(F.lit(1).alias("kind"), F.char_length(F.ltrim(t, F.lit("0"))).alias("digits"), F.ltrim(t, F.lit("0")).alias("text")),
+    ).otherwise(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("digits"), squeeze(t).alias("text"))))

@@ -209,16 +209,20 @@ def _iphone_name(text: Column) -> Column:
     return F.when(text.rlike(v.IPHONE_DISPLAY_MODEL), F.concat(F.lit("Apple iPhone "), let(model, name)))
 
 
-def display_title(title: Column, passes: int = 3) -> Column:
-    """Model wording of a selection screen; the prefix rules run a fixed number of passes."""
+def display_title(title: Column) -> Column:
+    """Model wording of a selection screen; the prefix rules run until nothing is left to strip.
+
+    A pass that changes something takes at least a word away, so there is a pass for every word."""
     kind_prefix = rf"(?iU)^{v.PRODUCT_KIND}\s*[:—-]?\s+"
     brand_wrap = rf"(?iU)^([a-zа-я0-9][a-zа-я0-9.+-]*)\s+{v.PRODUCT_KIND}\s+(?:\1\s+)?"
     doubled = r"(?iU)^([a-zа-я0-9][a-zа-я0-9.+-]*)\s+\1\b"
-    result = without_sim(title)
-    for _ in range(passes):
-        result = F.trim(F.regexp_replace(result, kind_prefix, ""))
-        result = F.trim(F.regexp_replace(result, brand_wrap, "$1 "))
-        result = F.trim(F.regexp_replace(result, doubled, "$1"))
+
+    def stripped(text: Column, _: Column) -> Column:
+        text = F.trim(F.regexp_replace(text, kind_prefix, ""))
+        text = F.trim(F.regexp_replace(text, brand_wrap, "$1 "))
+        return F.trim(F.regexp_replace(text, doubled, "$1"))
+
+    result = F.aggregate(F.split(title, r"\s+"), without_sim(title), stripped)
 
     def finish(text: Column) -> Column:
         apple = F.regexp_replace(F.regexp_replace(text, r"(?iU)\bapple\b", "Apple"), r"(?iU)\biphone\b", "iPhone")

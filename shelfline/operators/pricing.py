@@ -33,7 +33,7 @@ def filter_sellable(offers: DataFrame) -> DataFrame:
     return offers.filter(F.col("available") & finite(F.col("price")) & (F.col("price") >= 0))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None = None) -> DataFrame:
     """Exact median per key without holding a group in memory.
 
     Equal values are counted before the shuffle and the running count finds the middle ranks, so a
@@ -46,7 +46,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     holds = lambda rank: (F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to"))
     low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
     return ranked.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias(out))
+        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias(out),
+        *([F.max("_total").alias(count)] if count else []))
 
 
 def filter_price_outliers(offers: DataFrame, cohort: Sequence[str] = ("product_key",), price: str = "price",
@@ -61,7 +62,7 @@ def filter_price_outliers(offers: DataFrame, cohort: Sequence[str] = ("product_k
     valid = offers.filter(finite(F.col(price)) & (F.col(price) > 0))
     medians = exact_median(valid.select(*cohort, voter.alias("_voter"), F.col(price).alias("_price")),
                            [*cohort, "_voter"], "_price", "_median")
-    floors = (medians.groupBy(*cohort).agg(F.median("_median").alias("_reference"), F.count(F.lit(1)).alias("_voters"))
+    floors = (exact_median(medians, cohort, "_median", "_reference", "_voters")
               .filter(F.col("_voters") >= 2)
               .select(*cohort, (F.col("_reference") * ratio).alias("_floor")))
     # Joined on copies of the cohort columns: the ranking that usually follows then needs its own shuffle, so

@@ -34,10 +34,13 @@ def check_decisions(decisions: DataFrame, products: DataFrame, offers: DataFrame
     return joined.withColumn("error", error).drop("_p", "_c", "_r")
 
 
-def resolve_targets(moves: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Follow chains of moves to their last product by doubling the step each round."""
+def resolve_targets(moves: DataFrame) -> DataFrame:
+    """Follow chains of moves to their last product by doubling the step each round.
+
+    A chain of n moves ends after the logarithm of n rounds; what still moves then is a cycle.
+    """
     current = reliable_checkpoint(moves.select("product_key", "candidate_key"))
-    for _ in range(max_rounds):
+    for _ in range(current.count().bit_length() + 1):
         step = current.select(F.col("product_key").alias("candidate_key"), F.col("candidate_key").alias("_next"))
         jumped = current.join(step, "candidate_key", "left").select(
             "product_key", F.coalesce("_next", "candidate_key").alias("candidate_key"), F.col("_next").isNotNull().alias("_moved"))
@@ -48,15 +51,16 @@ def resolve_targets(moves: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise ValueError("review decisions form a cycle")
 
 
-def effective_moves(decisions: DataFrame, max_rounds: int = 100) -> DataFrame:
+def effective_moves(decisions: DataFrame) -> DataFrame:
     """Decisions that still find both products when their turn comes.
 
     A decision fails if an earlier effective one already moved its product or its candidate. Each round
-    recomputes all of them from the previous answer; the order by position makes the fixed point unique.
+    recomputes all of them from the previous answer; the order by position makes the fixed point unique, and
+    every round settles at least the earliest open position, so the rounds end.
     """
     decisions = reliable_checkpoint(decisions.select("product_key", "candidate_key", "position"))
     gone = decisions.groupBy("product_key").agg(F.min("position").alias("_at"))
-    for _ in range(max_rounds):
+    while True:
         own = gone.withColumnRenamed("_at", "_own")
         other = gone.select(F.col("product_key").alias("candidate_key"), F.col("_at").alias("_other"))
         effective = (decisions.join(own, "product_key", "left").join(other, "candidate_key", "left")
@@ -69,7 +73,6 @@ def effective_moves(decisions: DataFrame, max_rounds: int = 100) -> DataFrame:
         if stable:
             return decisions.join(gone, (decisions["product_key"] == gone["product_key"])
                                   & (decisions["position"] == gone["_at"]), "left_semi")
-    raise ValueError("review decisions did not settle")
 
 
 def accept_reviews(products: DataFrame, offers: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -35,7 +35,7 @@ def validated(spark, sf):
 
 @query("validate_records", f"WITH {ISSUES} SELECT * FROM issues", FEED)
 def _(spark, sf):
-    return validation.record_issues(validated(spark, sf))
+    return validation.record_issues(validated(spark, sf)).select("record", "field", "message")
 
 
 @query("valid_records", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,17 +45,19 @@ def stream_feed_ingest(spark: SparkSession, path: str, root: str, checkpoint: st
                        allow_partial: bool = False, snapshot: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
     """New JSON-lines feed files become catalog versions, one per micro-batch, all or nothing.
 
-    The version number follows from the batch number: a batch that was committed before a failure is
-    recognised and skipped.
+    Every version is tagged with the stream (its checkpoint) and the micro-batch that wrote it: a batch that was
+    committed before a failure is recognised by its tag and skipped, whatever versions others have added.
     """
     lines = feeds.file_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path)
 
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in store.catalog_versions(spark, root):
+        tag = f"{stream}-{batch_id}"
+        if store.tagged(spark, root, tag):
             return
         records = feeds.records_from_lines(feeds.number_lines(batch))
-        import_records(spark, records, root, now(), allow_partial=allow_partial, snapshot=snapshot, version=version)
+        import_records(spark, records, root, now(), allow_partial=allow_partial, snapshot=snapshot, tag=tag)
 
     return (lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
