@@ -290,7 +290,7 @@ def encoder_for(content: bytes, pattern: str) -> Encoder:
 
 
 #: Bytes of text that are encoded together, unless a single text is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
