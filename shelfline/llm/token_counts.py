@@ -161,7 +161,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                                              names=sums.names)
 
     source = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    spread = source.mapInArrow(reduced, fields).repartition(F.coalesce(F.xxhash64("token"), F.xxhash64("doc_id", "digest"))).sortWithinPartitions("token")
+    # documents' own rows have no token and go by document
+    deal = F.when(F.col("token").isNull(), F.xxhash64("doc_id", "digest")).otherwise(F.xxhash64("token"))
+    spread = source.mapInArrow(reduced, fields).repartition(deal).sortWithinPartitions("token")
     totals = spread.mapInArrow(counted, sums).groupBy("doc_id", "digest").agg(F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
     per_copy = F.expr("tokens div copies")
     return totals.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
