@@ -39,6 +39,8 @@ SHARE = 0.75
 CHI2_SHARE = 5.3853  # 0.75
 CUTOFF = 23.5127  # 0.9999
 LEAST_ROWS = 100
+#: Up to so many strata their estimates (a few hundred bytes each) are broadcast.
+FEW_STRATA = 10_000
 #: Concentration steps; determinants fall at each and hardly change after the first few.
 STEPS = 4
 
@@ -131,37 +133,43 @@ def on_grid(value: Column, steps: int = 1000) -> Column:
     return F.floor(F.log1p(value) * steps)
 
 
-def nearest(rows: DataFrame, distance: Column) -> DataFrame:
+def per_stratum(table: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per stratum and start, to be joined to rows: sent to the workers if the strata are few, so that a stratum
+    with a large share of the rows is not dealt to one task; otherwise Spark chooses."""
+    return F.broadcast(table) if few else table
+
+
+def nearest(rows: DataFrame, distance: Column, few: bool) -> DataFrame:
     """The share of rows of each stratum and start with the smallest distance; ties at the limit are all kept."""
     graded = rows.withColumn("grade", on_grid(distance))
     limits = graded.groupBy(F.col("stratum").alias("q_stratum"), F.col("start").alias("q_start")).agg(F.percentile("grade", SHARE).alias("limit"))
-    return graded.join(limits, (F.col("stratum") == F.col("q_stratum")) & (F.col("start") == F.col("q_start"))).filter(
+    return graded.join(per_stratum(limits, few), (F.col("stratum") == F.col("q_stratum")) & (F.col("start") == F.col("q_start"))).filter(
         F.col("grade") <= F.col("limit"))
 
 
-def by_estimate(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found, (F.col("stratum") == F.col("e_stratum")) & (F.col("start") == F.col("e_start")))
+def by_estimate(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    return rows.join(per_stratum(found, few), (F.col("stratum") == F.col("e_stratum")) & (F.col("start") == F.col("e_start")))
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
+def minimum_covariance(rows: DataFrame, few: bool) -> DataFrame:
     """rows (stratum, x1..x4): the estimate of every stratum, as in `estimates` with consistent scatter."""
     # medians of values on a grid: the table of distinct values stays small
     grid = lambda c: F.round(F.col(c), 3)
     centre = rows.groupBy("stratum").agg(*[F.percentile(grid(x), 0.5).alias(f"c{i}") for i, x in enumerate(STATS)]).withColumnRenamed("stratum", "c_stratum")
-    off = rows.join(centre, F.col("stratum") == F.col("c_stratum"))
+    off = rows.join(per_stratum(centre, few), F.col("stratum") == F.col("c_stratum"))
     spread = off.groupBy("stratum").agg(*[F.percentile(F.round(F.abs(F.col(x) - F.col(f"c{i}")), 3), 0.5).alias(f"d{i}") for i, x in enumerate(STATS)]).withColumnRenamed("stratum", "d_stratum")
-    off = off.join(spread, F.col("stratum") == F.col("d_stratum"))
+    off = off.join(per_stratum(spread, few), F.col("stratum") == F.col("d_stratum"))
     ball = sum((((F.col(x) - F.col(f"c{i}")) / (F.col(f"d{i}") * 1.4826 + FLOOR[i])) ** 2 for i, x in enumerate(STATS)), F.lit(0.0))
-    robust = nearest(off.withColumn("start", F.lit(0)), ball).select("stratum", "start", *STATS)
+    robust = nearest(off.withColumn("start", F.lit(0)), ball, few).select("stratum", "start", *STATS)
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     found = stored(estimates(robust.unionByName(both.filter("start = 1").select("stratum", "start", *STATS))), "mcd")
     for _ in range(STEPS):
-        found = stored(estimates(nearest(by_estimate(both, found), squared_distance()).select("stratum", "start", *STATS)), "mcd")
+        found = stored(estimates(nearest(by_estimate(both, found, few), squared_distance(), few).select("stratum", "start", *STATS)), "mcd")
     best = found.groupBy(F.col("e_stratum").alias("stratum")).agg(F.min(F.struct("logdet", "e_start"))["e_start"].alias("start"))
-    chosen = by_estimate(best, found).select("e_stratum", "e_start")
+    chosen = by_estimate(best, found, few).select("e_stratum", "e_start")
     chosen = chosen.withColumnsRenamed({"e_stratum": "b_stratum", "e_start": "b_start"})
-    subset = nearest(by_estimate(both, found), squared_distance()).join(
-        chosen, (F.col("stratum") == F.col("b_stratum")) & (F.col("start") == F.col("b_start"))).select("stratum", "start", *STATS)
+    subset = nearest(by_estimate(both, found, few), squared_distance(), few).join(
+        per_stratum(chosen, few), (F.col("stratum") == F.col("b_stratum")) & (F.col("start") == F.col("b_start"))).select("stratum", "start", *STATS)
     half = CHI2_SHARE / 2
     consistency = SHARE / (1 - math.exp(-half) * (1 + half + half * half / 2))
     return stored(estimates(subset, consistency), "mcd")
@@ -171,12 +179,13 @@ def judge_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     """One row per document: `row` (the keep columns), base statistics, base_failed, distance (squared) and kept."""
     rows = stored(with_vector(text_statistics(docs, keep)), "quality")
     names = stored(strata(rows), "strata")
-    named = rows.join(names, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")))
+    few = names.count() <= FEW_STRATA
+    named = rows.join(per_stratum(names, few), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")))
     passing = named.filter(~F.col("base_failed"))
     # strata that stand for a language or for the corpus are estimated from all of it
     levels = F.array_distinct(F.array(F.col("stratum"), F.to_json(F.struct(F.col("lang").alias("all_of"))), F.lit("all")))
     wanted = names.select(F.col("stratum").alias("wanted")).distinct()
     fit = passing.select(F.explode(levels).alias("stratum"), *STATS).join(wanted, F.col("stratum") == F.col("wanted"), "left_semi")
-    found = minimum_covariance(fit)
-    judged = named.join(found, F.col("stratum") == F.col("e_stratum"), "left").withColumn("distance", squared_distance())
+    found = minimum_covariance(fit, few)
+    judged = named.join(per_stratum(found, few), F.col("stratum") == F.col("e_stratum"), "left").withColumn("distance", squared_distance())
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
