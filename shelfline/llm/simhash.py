@@ -162,7 +162,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, row_hash, fingerprint (16 hex digits), component_id."""
+    """One row per document: doc_id, row_hash, fingerprint (16 hex digits), component (a fingerprint that stands for the component, whatever
+    its ids), component_id (its smallest id: null if it has none, and shared by components in which that id is repeated)."""
     printed = stored(fingerprints(docs), "fingerprints")
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct = stored(distinct, "distinct-fingerprints")
@@ -170,15 +171,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     labelled = stored(components(fingerprint_links(distinct, radius)), "components")
     named = distinct.join(labelled, distinct["fp"] == labelled["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = named.join(names, "component").select(F.col("fp").alias("of"), "component_id")
+    by_print = named.join(names, "component").select(F.col("fp").alias("of"), "component", "component_id")
     return printed.join(by_print, F.col("fp") == F.col("of")).select(
-        "doc_id", "row_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "row_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of every component: the one with the smallest id (of equal ids, the one with the smallest row hash)."""
+    """docs with one row of every component: the one with the smallest id (of equal ids, the one with the smallest row hash); a row without
+    an id only where the component has no other. Components are told apart by their fingerprints, as ids may be null or repeated."""
     found = near_duplicates(docs, radius)
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")).select("first.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
+    kept = found.groupBy("component").agg(first).select("first.doc_id", "first.row_hash")
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(*columns).alias("h"))
     joined = rows.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left_semi")

@@ -150,6 +150,15 @@ def test_near_duplicates(spark):
     assert near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_every_component_keeps_a_row_whatever_its_ids(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randrange(10 ** 6)) for _ in range(60))
+    alone = [(None, text()) for _ in range(6)] + [(1, text()), (1, text()), (2, text())]
+    shared = text()
+    kept = without_near_duplicates(spark.createDataFrame([*alone, (None, shared), (9, shared), (7, shared)], "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([*alone, (7, shared)])
+
+
 def test_large_buckets_are_split_without_loss(spark, monkeypatch):
     from shelfline.llm import simhash
 
