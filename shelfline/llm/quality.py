@@ -3,8 +3,9 @@
 Method. Every text gives a vector of transformed statistics (log of the mean word length, log of one plus symbols per word, share of
 repeated lines, share of words in repeated 3-word windows). For each stratum (language and source) the minimum covariance determinant
 estimate of location and scatter is searched: from two starts (a median and MAD ball; the classical estimate) concentration steps keep
-the `SHARE` of rows nearest by Mahalanobis distance and estimate again, `STEPS` times; the start with the smaller determinant wins. The scatter is made consistent for the normal distribution, and `FLOOR` keeps statistics that hardly vary from
-rejecting small deviations. A text is rejected if its squared distance exceeds the `CUTOFF` quantile of chi-squared.
+the `SHARE` of rows nearest by Mahalanobis distance and estimate again, in every stratum until its own determinant stops falling; only
+strata that have not settled take part in the next step. The start with the smaller determinant wins. The scatter is made consistent
+for the normal distribution, and `FLOOR` keeps statistics that hardly vary from rejecting small deviations. A text is rejected if its squared distance exceeds the `CUTOFF` quantile of chi-squared.
 
 Quantiles are taken over distances rounded to a grid: equal values are counted before the shuffle, a group of any size needs a table
 of bounded size, and the result does not depend on the order of rows. Everything per stratum is one row with numbers; the texts are
@@ -32,8 +33,9 @@ SYMBOLS = r"[#*$%&|<>]"
 WITH_WORD = r"[^\x20\x09-\x0D]"
 
 STATS = ["x1", "x2", "x3", "x4"]
-#: Least standard deviation of each statistic.
-FLOOR = (0.07, 0.05, 0.15, 0.15)
+#: Least standard deviation of each statistic. x3 stays below 1 and x4, after the base rules, at 0.5 or less: a tenth of that, so that each
+#: of them alone can exceed the cutoff. x1 and x2 have no upper limit.
+FLOOR = (0.07, 0.05, 0.1, 0.05)
 SHARE = 0.75
 #: Quantiles of chi-squared with four degrees of freedom.
 CHI2_SHARE = 5.3853  # 0.75
@@ -41,8 +43,6 @@ CUTOFF = 23.5127  # 0.9999
 LEAST_ROWS = 100
 #: Up to so many strata their estimates (a few hundred bytes each) are broadcast.
 FEW_STRATA = 10_000
-#: Concentration steps; determinants fall at each and hardly change after the first few.
-STEPS = 4
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -103,19 +103,25 @@ def strata(rows: DataFrame) -> DataFrame:
     return joined.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), name.alias("stratum"))
 
 
-def estimates(rows: DataFrame, scale: float = 1.0) -> DataFrame:
-    """rows (stratum, start, x1..x4): mean and Cholesky factor of the scatter per stratum and start, and the log determinant."""
-    pairs = [(i, j) for i in range(4) for j in range(i + 1)]
-    found = rows.groupBy("stratum", "start").agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i, j in pairs])
-    for i, j in pairs:  # Cholesky, row by row
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+ESTIMATE = [*[f"m{i}" for i in range(4)], *[f"s{i}{j}" for i, j in PAIRS]]
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """rows (stratum, start, x1..x4): mean and covariance per stratum and start."""
+    return rows.groupBy(F.col("stratum").alias("e_stratum"), F.col("start").alias("e_start")).agg(
+        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"s{i}{j}") for i, j in PAIRS])
+
+
+def factored(found: DataFrame, scale: float = 1.0) -> DataFrame:
+    """estimates with the Cholesky factor of the scatter and its log determinant."""
+    for i, j in PAIRS:  # row by row
         value = F.col(f"s{i}{j}") * scale + (FLOOR[i] ** 2 if i == j else 0.0)
         for k in range(j):
             value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
     logdet = sum((F.log(F.col(f"l{i}{i}")) for i in range(4)), F.lit(0.0)) * 2
-    return found.select(F.col("stratum").alias("e_stratum"), F.col("start").alias("e_start"), *[f"m{i}" for i in range(4)],
-                        *[f"l{i}{j}" for i, j in pairs], F.round(logdet, 9).alias("logdet"))
+    return found.withColumn("logdet", F.round(logdet, 9))
 
 
 def squared_distance() -> Column:
@@ -152,7 +158,7 @@ def by_estimate(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
 
 
 def minimum_covariance(rows: DataFrame, few: bool) -> DataFrame:
-    """rows (stratum, x1..x4): the estimate of every stratum, as in `estimates` with consistent scatter."""
+    """rows (stratum, x1..x4): the estimate of every stratum, as in `factored` with consistent scatter."""
     # medians of values on a grid: the table of distinct values stays small
     grid = lambda c: F.round(F.col(c), 3)
     centre = rows.groupBy("stratum").agg(*[F.percentile(grid(x), 0.5).alias(f"c{i}") for i, x in enumerate(STATS)]).withColumnRenamed("stratum", "c_stratum")
@@ -162,17 +168,24 @@ def minimum_covariance(rows: DataFrame, few: bool) -> DataFrame:
     ball = sum((((F.col(x) - F.col(f"c{i}")) / (F.col(f"d{i}") * 1.4826 + FLOOR[i])) ** 2 for i, x in enumerate(STATS)), F.lit(0.0))
     robust = nearest(off.withColumn("start", F.lit(0)), ball, few).select("stratum", "start", *STATS)
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    found = stored(estimates(robust.unionByName(both.filter("start = 1").select("stratum", "start", *STATS))), "mcd")
-    for _ in range(STEPS):
-        found = stored(estimates(nearest(by_estimate(both, found, few), squared_distance(), few).select("stratum", "start", *STATS)), "mcd")
-    best = found.groupBy(F.col("e_stratum").alias("stratum")).agg(F.min(F.struct("logdet", "e_start"))["e_start"].alias("start"))
-    chosen = by_estimate(best, found, few).select("e_stratum", "e_start")
-    chosen = chosen.withColumnsRenamed({"e_stratum": "b_stratum", "e_start": "b_start"})
-    subset = nearest(by_estimate(both, found, few), squared_distance(), few).join(
-        per_stratum(chosen, few), (F.col("stratum") == F.col("b_stratum")) & (F.col("start") == F.col("b_start"))).select("stratum", "start", *STATS)
+    found = factored(estimates(robust.unionByName(both.filter("start = 1").select("stratum", "start", *STATS))))
+    # neither start is a subset of nearest rows yet, so the first step is taken in any case
+    found = stored(found.withColumns({"logdet": F.lit(math.inf), "falls": F.lit(True)}), "mcd")
+    columns = found.columns
+    while True:  # a step is taken only while determinants fall, and there are finitely many subsets, so this ends
+        falling = found.filter("falls")
+        stepped = factored(estimates(nearest(by_estimate(both, falling, few), squared_distance(), few).select("stratum", "start", *STATS)))
+        old = falling.select(*[F.col(c).alias(f"old_{c}") for c in columns])
+        joined = old.join(stepped, (F.col("old_e_stratum") == F.col("e_stratum")) & (F.col("old_e_start") == F.col("e_start")))
+        fell = F.col("logdet") < F.col("old_logdet")
+        taken = joined.select(*[F.when(fell, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in columns if c != "falls"], fell.alias("falls"))
+        found = stored(found.filter("NOT falls").unionByName(taken), "mcd")
+        if found.filter("falls").isEmpty():
+            break
+    best = found.groupBy("e_stratum").agg(F.min(F.struct("logdet", "e_start", *ESTIMATE)).alias("best")).select("e_stratum", "best.e_start", *[f"best.{c}" for c in ESTIMATE])
     half = CHI2_SHARE / 2
     consistency = SHARE / (1 - math.exp(-half) * (1 + half + half * half / 2))
-    return stored(estimates(subset, consistency), "mcd")
+    return stored(factored(best, consistency), "mcd")
 
 
 def judge_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -186,6 +199,6 @@ def judge_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     levels = F.array_distinct(F.array(F.col("stratum"), F.to_json(F.struct(F.col("lang").alias("all_of"))), F.lit("all")))
     wanted = names.select(F.col("stratum").alias("wanted")).distinct()
     fit = passing.select(F.explode(levels).alias("stratum"), *STATS).join(wanted, F.col("stratum") == F.col("wanted"), "left_semi")
-    found = minimum_covariance(fit, few)
+    found = minimum_covariance(stored(fit, "fit"), few)
     judged = named.join(per_stratum(found, few), F.col("stratum") == F.col("e_stratum"), "left").withColumn("distance", squared_distance())
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))

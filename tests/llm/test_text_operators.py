@@ -106,6 +106,53 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(judged[i] for i, *_ in junk)
 
 
+def test_quality_concentrates_until_every_stratum_settles(spark):
+    """Two strata that need many steps: the estimates are fixed points, the same as those of plain steps one stratum at a time."""
+    from shelfline.llm import quality
+
+    rng = np.random.default_rng(17)
+    parts = {name: np.vstack((rng.standard_t(1.2, (700, 4)), rng.normal(3, 2, (500, 4)))) for name in "ab"}
+    rows = [(name, *map(float, x)) for name, values in parts.items() for x in values]
+    found = quality.minimum_covariance(spark.createDataFrame(rows, "stratum string, x1 double, x2 double, x3 double, x4 double"), True)
+    got = {r.e_stratum: [r[f"m{i}"] for i in range(4)] for r in found.collect()}
+    floor = np.diag(np.square(quality.FLOOR))
+
+    def nearest(values, distance):
+        grade = np.floor(np.log1p(distance) * 1000)
+        return values[grade <= np.quantile(grade, quality.SHARE)]
+
+    for name, values in parts.items():
+        centre = np.median(values.round(3), axis=0)
+        spread = np.median(np.abs(values - centre).round(3), axis=0) * 1.4826 + quality.FLOOR
+        settled, most = [], 0
+        for subset in (nearest(values, (((values - centre) / spread) ** 2).sum(axis=1)), values):
+            last, steps = (np.inf, None), 0
+            while True:
+                off = values - subset.mean(axis=0)
+                scatter = np.cov(subset.T, bias=True) + floor
+                subset = nearest(values, (off @ np.linalg.inv(scatter) * off).sum(axis=1))
+                now = round(float(np.linalg.slogdet(np.cov(subset.T, bias=True) + floor)[1]), 9)
+                if now >= last[0]:
+                    break
+                last, steps = (now, subset.mean(axis=0)), steps + 1
+            settled.append(last)
+            most = max(most, steps)
+        assert most > 5
+        assert np.allclose(got[name], min(settled, key=lambda s: s[0])[1], atol=1e-6)
+
+
+def test_quality_rejects_repeated_windows_alone(spark):
+    """Nearly half of the words in repeated windows passes the base rules; among texts without any it is an outlier by that alone."""
+    rng = random.Random(6)
+    words = lambda n: [f"{rng.randrange(10 ** 5):05d}" for _ in range(n)]
+    rows = [(i, " ".join(words(100)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, " ".join(w[:24] + w[:24] + w[24:]), "en", "a") for i in range(5) for w in [words(76)]]
+    judged = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+              .select("row.doc_id", "base_failed", "kept").collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert all(r.kept == (i < 1000) for i, r in judged.items())
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
