@@ -1,12 +1,14 @@
 """Secret scans with a random forest that removes false findings (native).
 
-Method. Candidates are runs of key characters with at least one digit, anywhere in the whole text. Each gets features: length, shares of
+Method. Candidates are runs of key characters with at least one digit, anywhere in the whole text, and whatever is assigned to a
+credential word, of any characters and length. Each gets features: length, shares of
 character classes, transitions between classes, distinct characters, coverage by dictionary words, path shape, and the neighbouring
 words and signs. Findings with a known outcome (formats that providers publish; plain numbers, UUIDs, addresses and paths) label a
 bounded, reproducible sample of at most about `LABELLED` candidates, from which a random forest is trained with Spark ML. The forest
 then judges every candidate by its features alone; those below `THRESHOLD` are dropped as false.
 
-The dictionary holds the words that are most frequent in a sample of `DICTIONARY_DOCUMENTS` documents, `DICTIONARY_WORDS` at most.
+The dictionary holds every word that all documents together have `LEAST_COUNT` times or more outside their candidates. It grows with the
+corpus, is counted in each task before the shuffle and stays a table that is joined.
 
 Defined results: null and empty texts have no candidates; repeated rows have the same findings each; a table without candidates, or
 whose labelled candidates are all of one kind, is judged by the labels alone (unlabelled candidates count as false); an empty table
@@ -23,17 +25,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfline.llm.common import stored, uniform
 
 KEY = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"(?<!{KEY})(?=[A-Za-z+/_\-]*[0-9]){KEY}{{10,}}={{0,2}}"
+CREDENTIAL_WORD = r"(?:pass(?:word|wd|phrase)?|secret|token|api.?key|access.?key|private.?key|credential|auth)"
+#: A value after a credential word: within quotes all of it, otherwise up to white space, a quote or a closing full stop, comma or semicolon.
+#: The short look-behinds come first, as they refuse most places.
+VALUE = (rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,4}}[\"']?)(?<=(?i:{CREDENTIAL_WORD})[\"']?\s{{0,4}}[=:]{{1,3}}\s{{0,4}}[\"']?)"
+         r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|[^\s\"'<>=:][^\s\"'<>]*(?<![.,;]))")
+CANDIDATE = rf"{VALUE}|(?<!{KEY})(?=[A-Za-z+/_\-]*[0-9]){KEY}{{10,}}={{0,2}}"
 BEFORE, AFTER = 48, 16
 LABELLED = 20_000
-DICTIONARY_WORDS, DICTIONARY_DOCUMENTS = 4_096, 2_000
+#: A letter run that occurs once in the whole corpus is no word.
+LEAST_COUNT = 2
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 TREES, DEPTH, SEED = 30, 6, 11
 
 #: Published formats of access keys and tokens.
 KNOWN_FORMATS = r"^(A(KI|SI)A[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
-CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|secret|token|api.?key|access.?key|private.?key|credential|auth)[\"']?\s*[=:]+\s*[\"']?$"
+CREDENTIAL = rf"(?i){CREDENTIAL_WORD}[\"']?\s*[=:]+\s*[\"']?$"
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 FEATURES = ["length", "digits", "upper", "lower", "hex", "transitions", "distinct", "vowels", "dictionary", "slashes", "in_path",
             "credential", "assigned", "quoted", "address"]
@@ -54,12 +62,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """word: frequent words of at least four letters from a sample of documents; a table of bounded size."""
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = max(sample.count(), 1)
-    sample = sample.filter(uniform(F.col("doc_id"), F.lit("words")) * F.lit(float(rows)) < DICTIONARY_DOCUMENTS)
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word")
+    """word: words of at least four letters over all documents, counted outside candidates, so that no secret vouches for itself."""
+    text = F.regexp_replace(F.col("text"), CANDIDATE, " ")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COUNT).select("word")
 
 
 def share(pattern: str) -> Column:

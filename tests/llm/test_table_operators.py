@@ -155,6 +155,24 @@ def test_secrets(spark):
         assert findings(odd).filter("is_secret").count() == 0
 
 
+def test_dictionary_holds_the_words_of_all_documents(spark):
+    from shelfline.llm.secrets import dictionary
+
+    spell = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(5))
+    docs = spark.createDataFrame([(i, f"{spell(i // 2)} password = '{'z' * 5} {i}'") for i in range(10_000)], "doc_id long, text string")
+    words = {r.word for r in dictionary(docs).collect()}
+    assert words == {spell(i) for i in range(5_000)} | {"password"}
+
+
+def test_values_of_credentials_are_candidates_whatever_they_hold(spark):
+    values = ['password = "correct-horse-battery"', "token: qwertyuiopasdf", "passwd='p@$$ w.rd!'", "secret=x;y!", "api_key: short,"]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    found = {r.doc_id: r.value_sha256 for r in findings(docs).collect()}
+    want = ["correct-horse-battery", "qwertyuiopasdf", "p@$$ w.rd!", "x;y!", "short"]
+    assert found == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(want)}
+    assert redact(docs).count() == len(values)
+
+
 def luhn(number):
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(number)))) % 10 == 0
 
