@@ -110,10 +110,53 @@ def finite(price: Column) -> Column:
     return price.isNotNull() & ~F.isnan(price) & (F.abs(price) != float("inf"))
 
 
+#: ISO-8601 calendar and week dates, extended and basic; then any one character, a time, and an offset.
+ISO_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?"
+ISO_TIME = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?"
+ISO_OFFSET = r"Z|[+-]\d{2}(?::\d{2}(?::\d{2})?)?|[+-]\d{4}(?:\d{2})?"
+ISO_MOMENT = rf"(?s)^({ISO_DATE})(?:.({ISO_TIME})({ISO_OFFSET})?)?$"
+
+
+def _digits(x: Column, first: int, count: int) -> Column:
+    return F.nullif(F.substring(x, first, count), F.lit("")).try_cast("int")
+
+
+def _iso_date(plain: Column) -> Column:
+    """Date of a calendar or week date without dashes."""
+    week, day = _digits(plain, 6, 2), F.coalesce(_digits(plain, 8, 1), F.lit(1))
+    monday = F.to_date(F.date_trunc("week", F.concat(F.left(plain, F.lit(4)), F.lit("-01-04")).try_cast("timestamp_ntz")))
+    found = F.date_add(monday, (week - 1) * 7 + day - 1)
+    # the week has to exist in its year
+    exists = week.between(1, 53) & day.between(1, 7) & (F.extract(F.lit("WEEK"), found) == week)
+    return F.when(plain.contains("W"), F.when(exists, found)).otherwise(
+        F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2)).try_cast("date"))
+
+
+def _iso_time(time: Column) -> Column:
+    """Time as HH:MM:SS.ffffff; what is not given is zero, further digits of a fraction are cut."""
+    clock = F.split(F.replace(time, F.lit(","), F.lit(".")), r"\.")
+    hms = F.rpad(F.replace(clock[0], F.lit(":")), 6, "0")
+    fraction = F.rpad(F.left(F.coalesce(F.try_element_at(clock, F.lit(2)), F.lit("")), F.lit(6)), 6, "0")
+    return F.concat(F.substring(hms, 1, 2), F.lit(":"), F.substring(hms, 3, 2), F.lit(":"), F.substring(hms, 5, 2), F.lit("."), fraction)
+
+
+def _iso_offset(offset: Column) -> Column:
+    plain = F.rpad(F.replace(F.replace(F.substring(offset, 2, 8), F.lit(":")), F.lit("Z")), 6, "0")
+    hours, minutes, seconds = (_digits(plain, at, 2) for at in (1, 3, 5))
+    east = F.when((hours < 24) & (minutes < 60) & (seconds < 60), F.make_dt_interval(F.lit(0), hours, minutes, seconds))
+    return F.when(offset.startswith("-"), -east).otherwise(east)
+
+
 def parse_timestamp(x: Column) -> Column:
-    """ISO-8601 text to TIMESTAMP; text without zone is UTC (session zone is UTC)."""
-    iso = x.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?([Zz]|[+-]\d{2}:?\d{2})?)?$")
-    return F.when(iso, F.regexp_replace(x, "[Zz]$", "+00:00").try_cast("timestamp"))
+    """ISO-8601 text to TIMESTAMP; text without zone is UTC."""
+    parts = F.struct(*[F.regexp_extract(x, ISO_MOMENT, group).alias(name) for group, name in ((1, "day"), (2, "time"), (3, "offset"))])
+
+    def moment(p: Column) -> Column:
+        written = F.concat(_iso_date(F.replace(p["day"], F.lit("-"))).cast("string"), F.lit(" "), _iso_time(p["time"]), F.lit("+00:00"))
+        return F.when(p["day"] != "", written.try_cast("timestamp") - _iso_offset(p["offset"]))
+
+    # the parts are bound once; written out, every use would match the pattern again
+    return F.transform(F.array(parts), moment)[0]
 
 
 def display_time(ts: Column) -> Column:

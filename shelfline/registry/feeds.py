@@ -71,61 +71,90 @@ def _(spark, sf):
             .unionByName(validation.decide(summary, snapshot=True, dry_run=True)))
 
 
+#: Records per written file.
+PART = 2000
+PARTS = f"""rows AS (
+  SELECT *, (record - 1) // {PART} AS part, record - (record - 1) // {PART} * {PART} AS place FROM v_feed
+), lines AS (
+  SELECT *, place + count(*) FILTER (source IS NULL) OVER (PARTITION BY part ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line FROM rows)"""
+FIELDS = "source, title, url, price, available, updated_at"
+LINE_ROWS = f"""SELECT part, line AS record, {FIELDS}, NULL AS field, NULL AS message FROM lines {{only}}
+UNION ALL SELECT part, line + 1, NULL, NULL, NULL, NULL, NULL, NULL, 'json', 'Expecting value' FROM lines WHERE source IS NULL {{also}}"""
+DOCUMENT_ROWS = f"""SELECT part, place AS record, {FIELDS}, NULL AS field, NULL AS message FROM rows {{only}}
+UNION ALL SELECT part, max(place) + 1, NULL, NULL, NULL, NULL, NULL, NULL, 'record', 'record must be an object' FROM rows {{only}} GROUP BY part"""
+
+
 def written_feed(spark, sf, kind):
-    """The feed as files: JSON lines, or one JSON document per shop."""
+    """The feed as many files: JSON lines, JSON documents, or (auto) one after the other of both."""
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     record = F.to_json(F.struct("source", "title", "url", "price", "available", "updated_at"))
-    lines = raw_feed(spark, sf).select("record", "source", record.alias("value"))
-    if kind == "jsonl":
-        # a broken line after every record of an unknown shop
-        broken = F.when(F.col("source").isNull(), F.array("value", F.lit('{"source": '))).otherwise(F.array("value"))
-        lines.repartitionByRange(4, "record").sortWithinPartitions("record").select(F.explode(broken).alias("value")).write.text(path)
-    else:
-        shops = F.coalesce("source", F.lit("none"))
-        (lines.groupBy(shops.alias("shop")).agg(F.sort_array(F.collect_list(F.struct("record", "value"))).alias("rows"))
-         .select(F.concat(F.lit('{"items": ['), F.array_join(F.transform("rows", lambda r: r["value"]), ","), F.lit(', "stray"]}')).alias("value"))
-         .repartition(8).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path))
+    rows = raw_feed(spark, sf).select(F.floor((F.col("record") - 1) / PART).alias("part"), F.col("record").alias("at"), "source", record.alias("value"))
+    document = {"jsonl": F.lit(False), "json": F.lit(True)}.get(kind, F.col("part") % 2 == 0)
+    # a broken line after every record of an unknown shop, a stray value at the end of every document
+    broken = F.when(F.col("source").isNull(), F.array("value", F.lit('{"source": '))).otherwise(F.array("value"))
+    lines = rows.filter(~document).select("part", "at", F.posexplode(broken).alias("n", "value"))
+    items = rows.filter(document).select("part", "at", F.lit(0).alias("n"), F.concat("value", F.lit(",")).alias("value"))
+    frame = rows.filter(document).select("part").distinct().select("part", F.inline(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(0).alias("n"), F.lit('{"items": [').alias("value")),
+        F.struct(F.lit(2**62).alias("at"), F.lit(0).alias("n"), F.lit('"stray"]}').alias("value")))))
+    written = lines.unionByName(items).unionByName(frame)
+    written.repartition("part").sortWithinPartitions("part", "at", "n").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
-@query("read_feed_jsonl", """
-SELECT 'good' AS kind, count(*) AS records FROM v_feed UNION ALL SELECT 'json', count(*) FROM v_feed WHERE source IS NULL""", FEED)
+def read_back(spark, sf, kind):
+    """Every record and issue with the file it comes from."""
+    records = feeds.read_feed(spark, written_feed(spark, sf, kind), kind)
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part")
+    none = [F.lit(None).cast("string").alias(c) for c in FIELDS.split(", ")]
+    good = feeds.record_fields(records).select(part, "record", *FIELDS.split(", "), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("message"))
+    return good.unionByName(records.filter("raw IS NULL").select(part, "record", *none, "field", "message"))
+
+
+@query("read_feed_jsonl", f"WITH {PARTS} " + LINE_ROWS.format(only="", also=""), FEED)
 def _(spark, sf):
-    records = feeds.read_feed(spark, written_feed(spark, sf, "jsonl"), "jsonl")
-    return records.groupBy(F.coalesce("field", F.lit("good")).alias("kind")).agg(F.count(F.lit(1)).alias("records"))
+    return read_back(spark, sf, "jsonl")
 
 
-@query("read_feed_json", """
-SELECT 'good' AS kind, count(*) AS records, max(n) AS last_record FROM (SELECT count(*) OVER (PARTITION BY source) AS n FROM v_feed)
-UNION ALL SELECT 'record', count(DISTINCT coalesce(source, 'none')), (SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM v_feed GROUP BY source)) FROM v_feed""", FEED)
+@query("read_feed_json", f"WITH {PARTS} " + DOCUMENT_ROWS.format(only=""), FEED)
 def _(spark, sf):
-    records = feeds.read_feed(spark, written_feed(spark, sf, "json"), "json")
-    return records.groupBy(F.coalesce("field", F.lit("good")).alias("kind")).agg(
-        F.count(F.lit(1)).alias("records"), F.max("record").alias("last_record"))
+    return read_back(spark, sf, "json")
 
 
-@query("read_feed_auto", """
-SELECT 'good' AS kind, count(*) AS records FROM v_feed UNION ALL SELECT 'json', count(*) FROM v_feed WHERE source IS NULL""", FEED)
+@query("read_feed_auto", f"WITH {PARTS} " + LINE_ROWS.format(only="WHERE part % 2 = 1", also="AND part % 2 = 1") + " UNION ALL " + DOCUMENT_ROWS.format(only="WHERE part % 2 = 0"), FEED)
 def _(spark, sf):
-    records = feeds.read_feed(spark, written_feed(spark, sf, "jsonl"), "auto")
-    return records.groupBy(F.coalesce("field", F.lit("good")).alias("kind")).agg(F.count(F.lit(1)).alias("records"))
+    return read_back(spark, sf, "auto")
+
 
+GOOD = "FROM v_feed WHERE record NOT IN (SELECT record FROM issues)"
+# the titles of one user and memory name one product; every record has an address, so an external id, of its own
+COUNTED = f"""(SELECT count(*) FROM v_feed) + (SELECT count(*) FROM v_feed WHERE source IS NULL) AS total_records, (SELECT count(*) {GOOD}) AS valid_records,
+  (SELECT count(DISTINCT record) FROM issues) + (SELECT count(*) FROM v_feed WHERE source IS NULL) AS invalid_records"""
+ENTERED = f"""(SELECT count(DISTINCT title) {GOOD}) AS created_products, (SELECT count(*) - count(DISTINCT title) {GOOD}) AS merged_offers,
+  0 AS updated_offers, 0 AS deactivated_offers"""
 
-@query("import_feed")
+
+def imported(spark, path, root, **options):
+    return import_feed.import_feed(spark, path, root, b.now().cast("timestamp"), format_hint="jsonl", **options)[0]
+
+
+@query("import_feed", f"""
+WITH {ISSUES} SELECT 'imported' AS status, false AS dry_run, {COUNTED}, {ENTERED}
+UNION ALL SELECT 'imported', false, {COUNTED}, 0, 0, (SELECT count(*) {GOOD}), 0""", FEED)
 def _(spark, sf):
-    root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
-    first, _ = import_feed.import_feed(spark, written_feed(spark, sf, "jsonl"), root, b.now().cast("timestamp"), allow_partial=True, format_hint="jsonl")
-    return first
+    root, path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", written_feed(spark, sf, "jsonl")
+    first = imported(spark, path, root, allow_partial=True)
+    return first.unionByName(imported(spark, path, root, allow_partial=True))
 
 
 @query("dry_run_import", f"""
-WITH {ISSUES} SELECT 'dry_run' AS status, true AS dry_run, (SELECT count(*) FROM v_feed) + (SELECT count(*) FROM v_feed WHERE source IS NULL) AS total_records,
-  (SELECT count(*) FROM v_feed WHERE record NOT IN (SELECT record FROM issues)) AS valid_records FROM (SELECT 1)""", FEED)
+WITH {ISSUES} SELECT 'dry_run' AS status, true AS dry_run, {COUNTED}, 0 AS created_products, 0 AS merged_offers, 0 AS updated_offers, 0 AS deactivated_offers
+UNION ALL SELECT 'dry_run', true, {COUNTED}, {ENTERED}""", FEED)
 def _(spark, sf):
-    root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
-    report, _ = import_feed.import_feed(spark, written_feed(spark, sf, "jsonl"), root, b.now().cast("timestamp"), dry_run=True, format_hint="jsonl")
+    root, path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", written_feed(spark, sf, "jsonl")
+    report = imported(spark, path, root, dry_run=True).unionByName(imported(spark, path, root, dry_run=True, allow_partial=True))
     assert store.load_catalog(spark, root) is None
-    return report.select("status", "dry_run", "total_records", "valid_records")
+    return report
 
 
 @query("offer_to_item", """
@@ -148,11 +177,16 @@ def _(spark, sf):
 
 
 @query("parse_timestamp", """
-SELECT event_id, date_trunc('second', ts) AS moment, strftime(ts, '%d.%m.%Y %H:%M') AS shown FROM events""")
+SELECT event_id, date_trunc('second', ts) AS moment, strftime(ts, '%d.%m.%Y %H:%M') AS shown, date_trunc('second', ts) AS basic, date_trunc('day', ts) AS week_day
+FROM events""")
 def _(spark, sf):
+    def ntz(x):
+        return text.parse_timestamp(x).cast("timestamp_ntz")
+
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    parsed = text.parse_timestamp(iso)
-    return b.table(spark, sf, "events").select("event_id", parsed.cast("timestamp_ntz").alias("moment"), text.display_time(parsed).alias("shown"))
+    week = F.format_string("%d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), "ts"), F.extract(F.lit("WEEK"), "ts"), F.extract(F.lit("DAYOFWEEK_ISO"), "ts"))
+    return b.table(spark, sf, "events").select("event_id", ntz(iso).alias("moment"), text.display_time(text.parse_timestamp(iso)).alias("shown"),
+                                               ntz(F.date_format("ts", "yyyyMMdd'T'HHmmss'+0000'")).alias("basic"), ntz(week).alias("week_day"))
 
 
 @query("normalize_queries", """
