@@ -9,7 +9,7 @@ from shelfline.functions.variants import display_title
 from shelfline.operators import reviews, validation
 from shelfline.plans.import_feed import import_feed
 from shelfline.sources import feeds, store
-from shelfline.sources.pages import _products_in, exact_price, shop_price
+from shelfline.sources.pages import exact_price, product_in, shop_price
 from shelfline.streaming.jobs import stream_feed_ingest
 from tests.test_feeds import now, record, write
 
@@ -32,12 +32,11 @@ def test_prefixes_are_stripped_to_the_last(spark):
     assert one == many
 
 
-def test_deep_product_graphs(spark):
+def test_deep_product_graphs():
     value = {"@type": "Product", "name": "deep"}
-    for level in range(9):
+    for level in range(5000):
         value = {"@graph": [value]} if level % 2 else [value]
-    row = spark.createDataFrame([(json.dumps(value),)], "j string").select(F.size(_products_in(F.parse_json("j"))).alias("n")).first()
-    assert row.n == 1
+    assert product_in(value)["name"] == "deep"
 
 
 def test_long_chain_of_decisions(spark):
