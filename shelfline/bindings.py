@@ -43,10 +43,21 @@ SELECT p_partkey,
 FROM {part}
 """
 
-# requests of a comparison: the first card of every model name and type, so pairs grow with the cards
+# titles that are shown, by the pool they are compared in: a model name of one type and of two neighbouring brands.
+# A pool has a bounded number of titles, so every card may ask and the pairs still grow with the cards.
+VIEWS["v_shown"] = """
+SELECT DISTINCT title, model, p_type, brand, CAST(floor(CAST(replace(brand, 'Brand', '') AS INT) / 2) AS INT) AS brands FROM {v_products}
+"""
+
+# requests of a comparison: every card asks
 VIEWS["v_wanted"] = """
-SELECT p.product_key AS request_id, p.title AS wanted_title, p.model AS model, p.p_type AS p_type, p.brand AS brand
-FROM {v_products} p JOIN (SELECT min(p_partkey) AS first_card FROM {v_products} GROUP BY model, p_type) f ON f.first_card = p.p_partkey
+SELECT product_key AS request_id, title AS wanted_title, model, p_type, brand, CAST(floor(CAST(replace(brand, 'Brand', '') AS INT) / 2) AS INT) AS brands
+FROM {v_products}
+"""
+
+# the same with equal cards asking once, for comparisons with offers
+VIEWS["v_wanted_titles"] = """
+SELECT min(product_key) AS request_id, title AS wanted_title, model, p_type, brand FROM {v_products} GROUP BY title, model, p_type, brand
 """
 
 # line = one observed offer, supplier = source
@@ -133,7 +144,6 @@ SELECT o_custkey AS chat_id, p.product_key AS product_key, p.title AS title, p.m
        concat(CAST(l_shipdate AS DATE), '-', lpad(concat('', l_orderkey), 11, '0'), '-', l_linenumber, '-',
               lpad(concat('', l_suppkey), 8, '0'), '-', lpad(concat('', CAST(l_quantity AS INT)), 3, '0')) AS position
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {v_products} p ON p.p_partkey = l_partkey
-WHERE l_returnflag = 'A'
 """
 
 # user turns as raw queries, model names as clean ones

@@ -157,7 +157,7 @@ def _(spark, sf):
 
 STATUS = """
 counted AS (SELECT request_id, source, count(*) AS checked, count(*) FILTER (accepted) AS matched
-            FROM v_decisions WHERE currency = 'BYN' GROUP BY ALL),
+            FROM v_decisions GROUP BY ALL),
 status AS (SELECT a.request_id, a.source,
   CASE WHEN failed THEN 'unavailable' WHEN coalesce(matched, 0) > 0 THEN 'found'
        WHEN coalesce(checked, 0) > 0 THEN 'filtered' ELSE 'not_found' END AS state,
@@ -166,8 +166,7 @@ status AS (SELECT a.request_id, a.source,
 
 
 def statuses(spark, sf):
-    candidates = b.view(spark, sf, "v_decisions").filter("currency = 'BYN'")
-    return pricing.source_status(b.view(spark, sf, "v_attempts"), candidates)
+    return pricing.source_status(b.view(spark, sf, "v_attempts"), b.view(spark, sf, "v_decisions"))
 
 
 @query("source_status", f"WITH {STATUS} SELECT * FROM status", ("v_decisions", "v_attempts"))

@@ -103,72 +103,102 @@ def _(spark, sf):
     return built.select("product_key", "identity.brand", "identity.model", "identity.mpn", "identity.memory")
 
 
+POOL = ["model", "p_type", "brands"]
+
+
 def wanted(spark, sf):
     return b.view(spark, sf, "v_wanted")
 
 
 def candidate_pairs(spark, sf):
-    cards = titles(spark, sf).select("product_key", "title", "model", "p_type")
-    return wanted(spark, sf).drop("brand").join(cards, ["model", "p_type"])
+    """Every card against the titles of its pool."""
+    return wanted(spark, sf).drop("brand").join(b.view(spark, sf, "v_shown").drop("brand"), POOL)
 
 
-@query("match_offers_to_reference")
-def _(spark, sf):
-    return compare.judge_pairs(candidate_pairs(spark, sf)).select("request_id", "product_key", "wanted_title", "title", "reason", "confirmed")
-
-
-@query("variant_mismatches", """
-WITH f AS (SELECT product_key, title, model, p_type,
+# what a title says, read off its fixed parts
+SAID = """said AS (SELECT DISTINCT title, model, p_type, brand, brands, regexp_extract(title, 'iPhone ([0-9]+)', 1) AS generation,
     CASE WHEN title LIKE '%refurbished%' THEN 'refurbished' WHEN title LIKE '% used%' THEN 'used' WHEN title LIKE '%open box%' THEN 'open_box' ELSE 'new' END AS condition,
     CASE WHEN regexp_matches(title, '/512') THEN concat(regexp_extract(title, '([0-9]+)/512', 1), '/512') ELSE regexp_extract(title, '([0-9]+)GB', 1) END AS memory,
     CASE WHEN regexp_matches(title, '\\bGlobal\\b') THEN 'global' WHEN regexp_matches(title, '\\bEU\\b') THEN 'eu' WHEN regexp_matches(title, '\\bUSA\\b') THEN 'us' END AS region,
     CASE WHEN title LIKE '%nano-SIM + eSIM%' THEN 'hybrid' WHEN title LIKE '%eSIM only%' THEN 'esim_only' WHEN title LIKE '%Dual SIM%' THEN 'dual_sim' END AS sim
-  FROM v_products)
-SELECT r.product_key AS request_id, c.product_key, CASE WHEN r.condition <> c.condition THEN 'condition' WHEN r.memory <> c.memory THEN 'memory'
-  WHEN r.region <> c.region THEN 'region' WHEN r.sim <> c.sim THEN 'sim' END AS reason
-FROM f r JOIN v_wanted w ON w.request_id = r.product_key JOIN f c ON r.model = c.model AND r.p_type = c.p_type""", ("v_wanted",))
+  FROM v_shown)"""
+VARIANT = """CASE WHEN r.condition <> c.condition THEN 'condition' WHEN r.memory <> c.memory THEN 'memory'
+  WHEN r.region <> c.region THEN 'region' WHEN r.sim <> c.sim THEN 'sim' END"""
+# the colour is part of the model name here, so cards of one pool never differ in it
+REASON = f"""CASE WHEN r.generation <> c.generation THEN 'model_number' WHEN r.brand <> c.brand THEN 'model_code' ELSE {VARIANT} END"""
+
+
+@query("match_offers_to_reference", f"""
+WITH {SAID}, judged AS (SELECT w.request_id, w.wanted_title, c.title, {REASON} AS reason, r.sim AS r_sim, c.sim AS c_sim
+  FROM v_wanted w JOIN said r ON r.title = w.wanted_title AND r.p_type = w.p_type JOIN said c ON c.model = w.model AND c.p_type = w.p_type AND c.brands = w.brands)
+SELECT request_id, wanted_title, title, reason, reason IS NULL AND r_sim IS NOT DISTINCT FROM c_sim
+  AND (wanted_title NOT LIKE '%iPhone%' OR NOT regexp_matches(title, 'refurbished| used|open box')) AS confirmed FROM judged""", ("v_wanted", "v_shown"))
 def _(spark, sf):
-    analysed = titles(spark, sf).select(
-        "product_key", "model", "p_type", F.struct(*[build(F.col("title")).alias(n) for n, build in features.COMPARE_FEATURES.items()
-                                                     if n in ("condition", "bundle", "mem_sig", "device", "connector", "voice", "display", "region", "sim")]).alias("f"))
-    left = analysed.select("model", "p_type", F.col("product_key").alias("request_id"), F.col("f").alias("r")).join(
-        wanted(spark, sf).select("request_id"), "request_id", "left_semi")
-    return left.join(analysed, ["model", "p_type"]).select(
-        "request_id", "product_key", compare.variant_reason(F.col("r"), F.col("f")).alias("reason"))
+    return compare.judge_pairs(candidate_pairs(spark, sf)).select("request_id", "wanted_title", "title", "reason", "confirmed")
 
 
-@query("pick_reference_candidate")
+@query("variant_mismatches", f"""
+WITH {SAID} SELECT w.request_id, c.title, {VARIANT} AS reason
+FROM v_wanted w JOIN said r ON r.title = w.wanted_title AND r.p_type = w.p_type JOIN said c ON c.model = w.model AND c.p_type = w.p_type AND c.brands = w.brands""", ("v_wanted", "v_shown"))
+def _(spark, sf):
+    said = b.view(spark, sf, "v_shown").select("title", F.struct(*[build(F.col("title")).alias(n) for n, build in features.COMPARE_FEATURES.items()
+                                               if n in ("condition", "bundle", "mem_sig", "device", "connector", "voice", "display", "region", "sim")]).alias("f"))
+    pairs = candidate_pairs(spark, sf)
+    said = said.dropDuplicates(["title"])
+    both = pairs.join(said.select(F.col("title").alias("wanted_title"), F.col("f").alias("r")), "wanted_title").join(said, "title")
+    return both.select("request_id", "title", compare.variant_reason(F.col("r"), F.col("f")).alias("reason"))
+
+
+def seller_candidates(spark, sf):
+    """Titles that sources show, with the card behind each, for every wanted title of the same brand, model and type."""
+    shown = b.view(spark, sf, "v_offers").select("source", "product_key").distinct().join(titles(spark, sf), "product_key")
+    asked = b.view(spark, sf, "v_wanted_titles")
+    return asked, asked.drop("wanted_title").join(shown.withColumnRenamed("product_key", "candidate_key"), ["model", "p_type", "brand"]).withColumn("rank", F.col("candidate_key"))
+
+
+@query("pick_reference_candidate", f"""
+WITH {SAID}, shown AS (SELECT DISTINCT o.source, o.product_key, p.title, p.p_type FROM v_offers o JOIN v_products p USING (product_key))
+SELECT w.request_id, o.source, min(o.product_key) AS candidate_key
+FROM v_wanted_titles w JOIN said r ON r.title = w.wanted_title AND r.p_type = w.p_type JOIN said c ON c.model = w.model AND c.p_type = w.p_type AND c.brand = w.brand
+  JOIN shown o ON o.title = c.title AND o.p_type = c.p_type
+WHERE {REASON} IS NULL GROUP BY ALL""", ("v_wanted_titles", "v_shown", "v_offers"))
 def _(spark, sf):
-    offers = b.view(spark, sf, "v_offers").select("title", "source", "product_key").distinct()
-    models = titles(spark, sf).select("product_key", "model", "p_type")
-    pool = offers.join(models, "product_key").select("model", "p_type", "source", "title", F.col("product_key").alias("candidate_key"))
-    requests = wanted(spark, sf)
-    candidates = requests.select("request_id", "model", "p_type").join(pool, ["model", "p_type"]).withColumn("rank", F.col("candidate_key"))
-    return compare.pick_reference_candidate(requests.select("request_id", "wanted_title"), candidates.drop("model", "p_type"))
-
-
-MATCH_COLORS_SQL = """
-SELECT a.product_key AS request_id, c.product_key, CASE WHEN a.color IS NULL THEN true WHEN c.color IS NULL THEN false
-  WHEN a.color = 'blue' THEN c.color IN ('blue', 'Sky Blue') WHEN a.color = 'red' THEN c.color = 'red'
-  ELSE a.color = c.color END AS matches
-FROM (SELECT product_key, brand, v_products.p_type AS p_type, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
-        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)
-      WHERE product_key IN (SELECT request_id FROM v_wanted)) a
-JOIN (SELECT product_key, brand, v_products.p_type AS p_type, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
-        WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey)) c USING (brand, p_type)"""
-
-
-@query("match_colors", MATCH_COLORS_SQL, ("v_wanted",))
+    asked, candidates = seller_candidates(spark, sf)
+    return compare.pick_reference_candidate(asked.select("request_id", "wanted_title"), candidates.select("request_id", "source", "title", "candidate_key", "rank"))
+
+
+@query("confirm_variant", f"""
+WITH {SAID} SELECT w.request_id, o.position, o.price
+FROM v_wanted_titles w JOIN said r ON r.title = w.wanted_title AND r.p_type = w.p_type JOIN said c ON c.model = w.model AND c.p_type = w.p_type AND c.brand = w.brand
+  JOIN v_products p ON p.title = c.title AND p.p_type = c.p_type JOIN v_offers o ON o.product_key = p.product_key
+WHERE {REASON} IS NULL AND r.sim IS NOT DISTINCT FROM c.sim AND (r.title NOT LIKE '%iPhone%' OR c.condition = 'new') AND o.available AND o.price > 0
+  AND (o.currency <> 'BYN' OR CASE WHEN o.title LIKE '%iPhone%' THEN o.price >= 300 WHEN o.title LIKE 'laptop%' THEN o.price >= 100 ELSE true END)""",
+       ("v_wanted_titles", "v_shown", "v_offers"))
+def _(spark, sf):
+    asked = b.view(spark, sf, "v_wanted_titles")
+    offers = b.view(spark, sf, "v_offers").join(titles(spark, sf).drop("title"), "product_key").join(asked.drop("wanted_title"), ["model", "p_type", "brand"])
+    return compare.confirm_variant(asked.select("request_id", "wanted_title"), offers).select("request_id", "position", "price")
+
+
+COLORED = """(SELECT product_key, brand, v_products.p_type AS p_type, CASE WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'blue' WHEN p_name LIKE 'small %' THEN 'Obsidian'
+  WHEN p_name LIKE 'hot %' THEN 'Sky Blue' END AS color FROM v_products JOIN part USING (p_partkey))"""
+
+
+@query("match_colors", f"""
+SELECT a.product_key AS request_id, c.color, CASE WHEN a.color IS NULL THEN true WHEN c.color IS NULL THEN false
+  WHEN a.color = 'blue' THEN c.color IN ('blue', 'Sky Blue') WHEN a.color = 'red' THEN c.color = 'red' ELSE a.color = c.color END AS matches
+FROM {COLORED} a JOIN (SELECT DISTINCT brand, p_type, color FROM {COLORED}) c USING (brand, p_type)""", PRODUCTS)
 def _(spark, sf):
     color = (F.when(F.col("model").startswith("red "), "red").when(F.col("model").startswith("blue "), "blue")
              .when(F.col("model").startswith("small "), "Obsidian").when(F.col("model").startswith("hot "), "Sky Blue"))
-    shown = titles(spark, sf).select("product_key", "brand", "p_type", color.alias("color"))
-    asked = wanted(spark, sf).select("request_id", "brand", "p_type", color.alias("wanted"))
+    asked = titles(spark, sf).select(F.col("product_key").alias("request_id"), "brand", "p_type", color.alias("wanted"))
+    # every card asks, against the colours that cards of its brand and type are shown in
+    shown = titles(spark, sf).select("brand", "p_type", color.alias("color")).distinct()
     pairs = asked.join(shown, ["brand", "p_type"])
     # a pair of colour names is judged once, however many cards show it
-    judged = pairs.select("wanted", "color").distinct().withColumn("matches", colors.match_colors(F.col("wanted"), F.col("color")))
-    same = pairs["wanted"].eqNullSafe(judged["wanted"]) & pairs["color"].eqNullSafe(judged["color"])
-    return pairs.join(judged, same).select("request_id", "product_key", "matches")
+    judged = pairs.select("wanted", F.col("color").alias("_color")).distinct().withColumn("matches", colors.match_colors(F.col("wanted"), F.col("_color"))).withColumnRenamed("wanted", "_wanted")
+    same = F.col("wanted").eqNullSafe(F.col("_wanted")) & F.col("color").eqNullSafe(F.col("_color"))
+    return pairs.join(judged, same).select("request_id", "color", "matches")
 
 
 def cards(spark, sf):
@@ -252,14 +282,14 @@ def _(spark, sf):
         "product_key", "title", F.lit("Apple iPhone").alias("query"), F.lit("").alias("url")))
 
 
-# every phone answers two requests: one for its size number and one for a shifted number
+# every card answers two requests of its type: one for its own number and one for a shifted number
 GENERATION_PAIRS = """
-SELECT p_size % 30 AS request_id, concat('iphone ', p_size % 30) AS query, product_key, title FROM {v_products} WHERE p_type = 'ECONOMY'
-UNION ALL SELECT (p_size + 7) % 30, concat('iphone ', (p_size + 7) % 30), product_key, title FROM {v_products} WHERE p_type = 'ECONOMY'"""
+SELECT concat(p_type, '-', CAST(p_size % 30 AS INT)) AS request_id, concat('iphone ', CAST(p_size % 30 AS INT)) AS query, product_key, title FROM {v_products}
+UNION ALL SELECT concat(p_type, '-', CAST((p_size + 7) % 30 AS INT)), concat('iphone ', CAST((p_size + 7) % 30 AS INT)), product_key, title FROM {v_products}"""
 
 
 @query("filter_query_generation", f"""
-WITH marked AS (SELECT *, regexp_extract(title, 'iPhone ([0-9]+)', 1) = concat('', request_id) AS fits
+WITH marked AS (SELECT *, regexp_extract(title, 'iPhone ([0-9]+)', 1) = regexp_extract(query, '[0-9]+') AS fits
   FROM ({GENERATION_PAIRS.format(v_products='v_products')}))
 SELECT request_id, query, product_key, title FROM marked m WHERE fits OR request_id NOT IN (SELECT request_id FROM marked WHERE fits)""", PRODUCTS)
 def _(spark, sf):
@@ -273,18 +303,14 @@ def _(spark, sf):
 
 
 @query("code_set_algebra", """
-WITH c AS (SELECT product_key, model, p_type, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM v_products)
-SELECT a.product_key AS left_key, c.product_key AS right_key, len(list_filter(a.t, lambda x: NOT list_contains(c.t, x))) = 0 AS is_subset,
-  NOT list_has_any(a.t, c.t) AS is_disjoint, CAST(len(list_intersect(a.t, c.t)) AS INT) AS shared
-FROM c a JOIN c ON a.model = c.model AND a.p_type = c.p_type WHERE a.product_key IN (SELECT request_id FROM v_wanted)""", ("v_wanted",))
+WITH c AS (SELECT title, model, p_type, brands, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'),
+    lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^[0-9]+gb$'))) AS t FROM v_shown)
+SELECT w.request_id, c.title, len(list_filter(a.t, lambda x: NOT list_contains(c.t, x))) = 0 AS is_subset,
+  NOT list_has_any(a.t, c.t) AS is_disjoint, array_to_string(list_sort(list_intersect(a.t, c.t)), '|') AS shared
+FROM v_wanted w JOIN c a ON a.title = w.wanted_title AND a.p_type = w.p_type JOIN c ON c.model = w.model AND c.p_type = w.p_type AND c.brands = w.brands""", ("v_wanted", "v_shown"))
 def _(spark, sf):
-    sets = titles(spark, sf).select("product_key", "model", "p_type", F.array_distinct(text.tokens(F.col("title"))).alias("t"))
-    left = wanted(spark, sf).select("model", "p_type", F.col("request_id").alias("left_key"),
-                                    F.array_distinct(text.tokens(F.col("wanted_title"))).alias("l"))
-    return left.join(sets, ["model", "p_type"]).select("left_key", F.col("product_key").alias("right_key"),
-                                           (F.size(F.array_except("l", "t")) == 0).alias("is_subset"),
-                                           (~F.arrays_overlap("l", "t")).alias("is_disjoint"),
-                                           F.size(F.array_intersect("l", "t")).alias("shared"))
+    related = compare.code_relations(candidate_pairs(spark, sf))
+    return related.select("request_id", "title", "is_subset", "is_disjoint", F.array_join("shared", "|").alias("shared"))
 
 
 @query("query_variants")
