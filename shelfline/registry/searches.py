@@ -77,31 +77,42 @@ def _(spark, sf):
     return search.rank_card_index(requests(spark, sf), cards(spark, sf))
 
 
-# a result list: every card of a type, the type's name is the query
+# result lists: the cards of a model name and type; phones are asked for by their family, others by their name
 def result_list(spark, sf):
     return b.view(spark, sf, "v_products").select(
-        F.col("p_type").alias("request_id"), F.concat(F.lit("device "), F.col("model")).alias("query"), "product_key", "title",
+        F.concat_ws(" ", "p_type", "model").alias("request_id"), F.concat(F.lit("device "), F.col("model")).alias("query"), "product_key", "title",
         F.col("brand").alias("category"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("rank"))
 
 
-@query("rank_family", """
-WITH p AS (SELECT p_type AS request_id, product_key, lower(title) AS t, lpad(concat('', p_partkey), 12, '0') AS rank,
-  regexp_replace(lower(title), '\\s*\\((red|dark blue|obsidian|sky blue)\\)$', '') AS base FROM v_products WHERE p_type = 'ECONOMY'),
-k AS (SELECT *, -CAST(regexp_extract(t, 'iphone ([0-9]+)', 1) AS INT) AS a,
-  CASE WHEN t LIKE '%dual sim%' THEN 1 WHEN t LIKE '%esim%' THEN 3 ELSE 0 END AS s FROM p)
-SELECT request_id, product_key, row_number() OVER (PARTITION BY request_id ORDER BY a, s, base, rank) AS place FROM k""", ("v_products",))
+LISTED = """p AS (SELECT concat(p_type, ' ', model) AS request_id, product_key, p_type, model, lower(title) AS t, lpad(concat('', p_partkey), 12, '0') AS rank,
+  regexp_replace(lower(title), '\\s*\\((red|dark blue|obsidian|sky blue)\\)$', '') AS base FROM v_products)"""
+
+
+@query("rank_family", f"""
+WITH {LISTED}, k AS (SELECT *, -CAST(regexp_extract(t, 'iphone ([0-9]+)', 1) AS INT) AS a,
+  CASE WHEN t LIKE '%dual sim%' THEN 1 WHEN t LIKE '%esim%' THEN 3 ELSE 0 END AS s FROM p WHERE p_type = 'ECONOMY'),
+n AS (SELECT *, len(list_filter(string_split(concat('device ', model), ' '), lambda w: NOT list_contains(regexp_extract_all(base, '[a-z0-9]+'), w))) AS missing,
+  abs(len(list_distinct(regexp_extract_all(base, '[a-z0-9]+'))) - 3) AS gap FROM p WHERE p_type <> 'ECONOMY')
+SELECT request_id, product_key, row_number() OVER (PARTITION BY request_id ORDER BY a, s, base, rank) AS place FROM k
+UNION ALL SELECT request_id, product_key, row_number() OVER (PARTITION BY request_id ORDER BY missing, gap, rank) FROM n""", ("v_products",))
 def _(spark, sf):
-    phones = result_list(spark, sf).filter("request_id = 'ECONOMY'").withColumn("query", F.lit("apple iphone"))
-    return search.rank_family(phones).select("request_id", "product_key", "place")
+    asked = result_list(spark, sf).withColumn("query", F.when(F.col("request_id").startswith("ECONOMY"), "apple iphone").otherwise(F.col("query")))
+    return search.rank_family(asked).select("request_id", "product_key", "place")
 
 
-@query("rank_family_by_closeness")
+# no request names the phone here: lists of phones only are recognised by their cards
+@query("rank_family_by_closeness", f"""
+WITH {LISTED}, k AS (SELECT *, CASE WHEN p_type = 'ECONOMY' THEN -CAST(regexp_extract(t, 'iphone ([0-9]+)', 1) AS INT)
+    ELSE len(list_filter(string_split(concat('device ', model), ' '), lambda w: NOT list_contains(regexp_extract_all(base, '[a-z0-9]+'), w))) END AS a,
+  CASE WHEN p_type <> 'ECONOMY' THEN abs(len(list_distinct(regexp_extract_all(base, '[a-z0-9]+'))) - 3) WHEN t LIKE '%dual sim%' THEN 1 WHEN t LIKE '%esim%' THEN 3 ELSE 0 END AS s,
+  CASE WHEN p_type = 'ECONOMY' THEN base ELSE '' END AS d FROM p)
+SELECT request_id, product_key, row_number() OVER (PARTITION BY request_id ORDER BY a, s, d, rank) AS place FROM k""", ("v_products",))
 def _(spark, sf):
     return search.rank_family(result_list(spark, sf)).select("request_id", "product_key", "place")
 
 
 @query("cluster_same_base_title", """
-WITH b AS (SELECT p_type AS request_id, product_key, lpad(concat('', p_partkey), 12, '0') AS rank,
+WITH b AS (SELECT concat(p_type, ' ', model) AS request_id, product_key, lpad(concat('', p_partkey), 12, '0') AS rank,
   lower(regexp_replace(title, '\\s*\\((Red|Dark Blue|Obsidian|Sky Blue)\\)$', '')) AS base_key FROM v_products)
 SELECT request_id, product_key, base_key, min(rank) OVER (PARTITION BY request_id, base_key) AS group_rank FROM b""", ("v_products",))
 def _(spark, sf):
@@ -109,22 +120,25 @@ def _(spark, sf):
 
 
 @query("filter_primary_category", """
-WITH l AS (SELECT p_type AS request_id, product_key, brand AS category, p_partkey AS rank FROM v_products),
+WITH l AS (SELECT concat(p_type, ' ', model) AS request_id, product_key, brand AS category, p_partkey AS rank FROM v_products),
 f AS (SELECT request_id, arg_min(category, rank) AS category FROM l GROUP BY request_id)
 SELECT l.request_id, l.product_key, l.category FROM l JOIN f USING (request_id, category)""", ("v_products",))
 def _(spark, sf):
     return filters.filter_primary_category(result_list(spark, sf)).select("request_id", "product_key", "category")
 
 
+# every brand is asked for, in the result list of its model names
 @query("discover_categories", """
-SELECT query AS request_id, category, min(rank) AS first_rank FROM (
-  SELECT 'brand7' AS query, lower(p_type) AS category, lpad(concat('', p_partkey), 12, '0') AS rank FROM v_products WHERE brand = 'Brand7' AND p_type <> 'PROMO')
+SELECT request_id, category, min(rank) AS first_rank FROM (
+  SELECT concat(lower(brand), ' ', model) AS request_id, lower(p_type) AS category, lpad(concat('', p_partkey), 12, '0') AS rank FROM v_products WHERE p_type <> 'PROMO')
 GROUP BY ALL""", ("v_products",))
 def _(spark, sf):
-    listed = b.view(spark, sf, "v_products").select(
-        F.lit("brand7").alias("request_id"), F.lit("Brand 7").alias("query"), F.lit("").alias("category"),
-        F.concat(F.lit("https://catalog.example/"), F.lower("p_type"), F.lit("/"), F.lower("brand"), F.lit("/"), "p_partkey").alias("url"),
-        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("rank"))
+    cards_ = b.view(spark, sf, "v_products")
+    own = F.concat(F.lit("https://catalog.example/"), F.lower("p_type"), F.lit("/"), F.lower("brand"), F.lit("/"), "p_partkey")
+    other = F.concat(F.lit("https://catalog.example/"), F.lower("p_type"), F.lit("/not-"), F.lower("brand"), F.lit("/"), "p_partkey")
+    listed = cards_.select(
+        F.concat_ws(" ", F.lower("brand"), "model").alias("request_id"), F.regexp_replace("brand", "^Brand", "Brand ").alias("query"), F.lit("").alias("category"),
+        F.explode(F.array(own, other)).alias("url"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("rank"))
     return search.discover_categories(listed, ["promo"])
 
 

@@ -83,14 +83,63 @@ title_query("index_words", """
             words=text.index_norm)
 
 
-@query("enrich_titles")
-def _(spark, sf):
-    return features.enrich_titles(titles(spark, sf))
+# titles are written by a rule, so what a feature has to be follows from the parts of the title
+PARTS = r"""parts AS (SELECT DISTINCT title, model, brand,
+    CASE WHEN title LIKE 'Apple iPhone %' THEN 'Apple iPhone ' || regexp_extract(title, 'iPhone ([0-9]+)', 1) ELSE split_part(title, ' ', 1) END AS lead,
+    regexp_extract(title, 'iPhone ([0-9]+)', 1) AS generation, regexp_extract(title, ' ([0-9]+GB|[0-9]+/512)', 1) AS memory,
+    regexp_extract(title, '(Dual SIM|eSIM only|nano-SIM \+ eSIM)', 1) AS sim, regexp_extract(title, '\b(EU|Global|USA)\b', 1) AS region,
+    regexp_extract(title, ' (refurbished|open box|used)', 1) AS condition, regexp_extract(title, '\((Red|Dark Blue|Obsidian|Sky Blue)\)$', 1) AS color
+  FROM v_products)"""
+
+
+def joined(*parts):
+    return "array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x <> ''), ' ')"
+
+
+COLOR_PARTS = {"Red": ("red", "red", "red", "base_color"), "Dark Blue": ("dark_blue", "unknown", "name:dark_blue", "unknown"),
+               "Obsidian": ("black", "black", "obsidian", "exact_variant"), "Sky Blue": ("light_blue", "blue", "sky_blue", "exact_variant")}
+
 
+def by_color(place, other="NULL"):
+    return "CASE color " + " ".join(f"WHEN '{name}' THEN '{parts[place]}'" for name, parts in COLOR_PARTS.items()) + f" ELSE {other} END"
 
-@query("build_identities")
+
+# what is left of the writing of the SIM, where only its marker is taken out
+BARE_SIM = "CASE sim WHEN 'eSIM only' THEN 'only' ELSE '' END"
+# behind the memory of a phone a colour is expected, so what stands there is taken for the name of one, but for known words
+REST = joined(BARE_SIM, "region", "condition")
+AFTER_MEMORY = f"CASE WHEN generation <> '' AND region NOT IN ('EU', 'Global') AND {REST} NOT IN ('', 'USA', 'refurbished') THEN replace(lower({REST}), ' ', '_') END"
+NAMED = f"'name:' || {AFTER_MEMORY}"
+UNKNOWN = f"CASE WHEN {AFTER_MEMORY} IS NOT NULL THEN 'unknown' END"
+# a word for the kind of thing is no part of a model
+MODEL = joined("CASE lead WHEN 'laptop' THEN '' ELSE lead END", "brand", "model", "sim", "region", "condition")
+
+
+@query("enrich_titles", f"""
+WITH {PARTS} SELECT title, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS compact, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS words,
+  replace(replace(memory, 'GB', ''), '/', 'GB/') || 'GB' AS memory, array_to_string(list_transform(string_split(replace(memory, 'GB', ''), '/'), lambda x: x::INT * 1024), '|') AS memory_mb,
+  {by_color(0)} AS color_key, {by_color(1, UNKNOWN)} AS family, {by_color(2, NAMED)} AS variant, {by_color(3, UNKNOWN)} AS confidence, nullif(color, '') AS color_label,
+  CASE sim WHEN 'Dual SIM' THEN 'dual_sim' WHEN 'eSIM only' THEN 'esim_only' WHEN 'nano-SIM + eSIM' THEN 'hybrid' END AS sim,
+  CASE region WHEN 'EU' THEN 'eu' WHEN 'USA' THEN 'us' WHEN 'Global' THEN 'global' END AS region, CASE condition WHEN '' THEN 'new' ELSE replace(condition, ' ', '_') END AS condition,
+  generation AS model_numbers, generation AS generations, lower(brand) AS long_codes, lower(brand) AS specific_codes,
+  trim(concat_ws(' ', CASE lead WHEN 'device' THEN '' ELSE regexp_replace(lower(lead), ' [0-9]+', '') END, 'brand', model, {BARE_SIM})) AS identity_words,
+  {MODEL} AS model_title, {joined("lead", "brand", "model", "sim", "region", "condition")} AS base_title,
+  {joined("lead", "brand", "model", BARE_SIM, "CASE WHEN color <> '' THEN '(' || color ELSE '' END")} AS neutral_title FROM parts""", PRODUCTS)
 def _(spark, sf):
-    return features.build_identity(titles(spark, sf).select("product_key", "title")).select("product_key", "title", "identity.*")
+    lists = ("memory_mb", "model_numbers", "generations", "long_codes", "specific_codes")
+    rich = features.enrich_titles(titles(spark, sf)).withColumns(
+        {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists} | {"identity_words": F.array_join("identity_words", " ")})
+    return rich.select("title", "compact", "words", "memory", "color_key", "color.family", "color.variant", "color.confidence", "color_label", "sim", "region",
+                       "condition", *lists, "identity_words", "model_title", "base_title", "neutral_title")
+
+
+@query("build_identities", f"""
+WITH {PARTS} SELECT p.product_key, p.title, CASE lead WHEN 'laptop' THEN lower(brand) ELSE lower(split_part(lead, ' ', 1)) END AS brand,
+  lower({joined("CASE WHEN generation <> '' THEN 'iphone ' || generation ELSE '' END", "CASE lead WHEN 'laptop' THEN '' ELSE brand END", "model", "replace(sim, ' +', '')",
+                "region", "condition")}) AS model,
+  replace(replace(memory, 'GB', ''), '/', 'GB/') || 'GB' AS memory, {by_color(2, NAMED)} AS color FROM parts JOIN v_products p USING (title, model, brand)""", PRODUCTS)
+def _(spark, sf):
+    return features.build_identity(titles(spark, sf).select("product_key", "title")).select("product_key", "title", "identity.brand", "identity.model", "identity.memory", "identity.color")
 
 
 @query("build_identities_from_feed", """
@@ -201,14 +250,27 @@ def _(spark, sf):
     return pairs.join(judged, same).select("request_id", "color", "matches")
 
 
+GROUPED = f"""
+WITH {PARTS}, c AS (SELECT p.model AS request_id, product_key, lpad(regexp_extract(product_key, '[0-9]+'), 12, '0') AS position, {{key}} AS base
+  FROM parts JOIN v_products p USING (title, model, brand))
+SELECT request_id, product_key, {{label}} AS group_key, first_value(base) OVER w AS group_title, min(position) OVER w AS group_position,
+  count(*) OVER (PARTITION BY request_id, {{label}}) AS group_size FROM c
+WINDOW w AS (PARTITION BY request_id, {{label}} ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+BASE = joined("lead", "brand", "p.model", "sim", "region", "condition")
+KIND = MODEL.replace("model", "p.model")
+# a phone is shown by its generation alone
+SHOWN = "CASE WHEN generation <> '' THEN lead ELSE " + joined("CASE lead WHEN 'laptop' THEN '' ELSE lead END", "brand", "p.model", BARE_SIM, "region", "condition") + " END"
+NORMAL = "trim(regexp_replace(lower(base), '[^a-z0-9]+', ' ', 'g'))"
+
+
 def cards(spark, sf):
     return titles(spark, sf).select("product_key", "title", F.col("model").alias("request_id"), F.lit("red things").alias("query"),
                                     F.lpad(F.regexp_extract("product_key", r"\d+", 0), 12, "0").alias("position"))
 
 
-@query("group_product_variants")
+@query("group_product_variants", GROUPED.format(key=BASE, label="lower(base)"), PRODUCTS)
 def _(spark, sf):
-    return groups.group_product_variants(cards(spark, sf))
+    return groups.group_product_variants(cards(spark, sf), ["request_id"]).select("request_id", "product_key", "group_key", "group_title", "group_position", "group_size")
 
 
 MEMORY_SQL = """CASE WHEN p_type = 'LARGE' THEN concat(regexp_extract(title, '([0-9]+)/512', 1), 'GB/512GB') ELSE regexp_extract(title, '([0-9]+GB)', 1) END"""
@@ -238,14 +300,14 @@ def _(spark, sf):
     return groups.group_by_sim(cards(spark, sf), ["request_id"]).select("product_key", "request_id", "group_key", "group_size")
 
 
-@query("group_model_variants")
+@query("group_model_variants", GROUPED.format(key=KIND, label=NORMAL), PRODUCTS)
 def _(spark, sf):
-    return groups.group_model_variants(cards(spark, sf))
+    return groups.group_model_variants(cards(spark, sf), ["request_id"]).select("request_id", "product_key", "group_key", "group_title", "group_position", "group_size")
 
 
-@query("group_display_models")
+@query("group_display_models", GROUPED.format(key=SHOWN, label=NORMAL), PRODUCTS)
 def _(spark, sf):
-    return groups.group_display_models(cards(spark, sf))
+    return groups.group_display_models(cards(spark, sf), ["request_id"]).select("request_id", "product_key", "group_key", "group_title", "group_position", "group_size")
 
 
 @query("color_choices", """
@@ -259,10 +321,15 @@ def _(spark, sf):
     return groups.color_choices(cards(spark, sf)).select("request_id", "color_key", "cards", "label")
 
 
-@query("collapse_color_variants")
+@query("collapse_color_variants", f"""
+WITH {PARTS}, c AS (SELECT p.model AS request_id, product_key, title, CASE WHEN p_size % 2 = 0 THEN 'gear' ELSE 'red gear' END AS query, lpad(regexp_extract(product_key, '[0-9]+'), 12, '0') AS position,
+    regexp_replace(title, ' \\((Red|Dark Blue|Obsidian|Sky Blue)\\)$', '') AS base FROM parts JOIN v_products p USING (title, model, brand))
+SELECT request_id, query, product_key FROM c WHERE query = 'red gear'
+UNION ALL SELECT request_id, 'gear', arg_min(product_key, position) FROM c WHERE query = 'gear' GROUP BY request_id, lower(base)""", PRODUCTS)
 def _(spark, sf):
-    plain = cards(spark, sf).withColumn("query", F.lit("gear"))
-    return groups.collapse_color_variants(plain)
+    sizes = b.view(spark, sf, "v_products").select("product_key", "p_size")
+    asked = cards(spark, sf).join(sizes, "product_key").withColumn("query", F.when(F.col("p_size") % 2 == 0, "gear").otherwise("red gear"))
+    return groups.collapse_color_variants(asked).select("request_id", "query", "product_key")
 
 
 @query("natural_sort_desc", """
@@ -313,13 +380,17 @@ def _(spark, sf):
     return related.select("request_id", "title", "is_subset", "is_disjoint", F.array_join("shared", "|").alias("shared"))
 
 
-@query("query_variants")
+@query("query_variants", f"""
+WITH {PARTS}, q AS (SELECT p.product_key, list_distinct(list_filter([CASE WHEN color <> '' THEN p.model || ' ' || color END, p.model], lambda x: x IS NOT NULL)) AS texts
+  FROM parts JOIN v_products p USING (title, model, brand))
+SELECT product_key, unnest(range(len(texts)))::INT AS place, unnest(list_sort(texts, 'DESC')) AS query FROM q""", PRODUCTS)
 def _(spark, sf):
     cards_ = titles(spark, sf)
     texts = codes.query_variants(F.col("model"), colors.explicit_color(F.col("title")), colors.display_color(F.col("title")))
     return cards_.select("product_key", F.posexplode(texts).alias("place", "query"))
 
 
-@query("identifier_query_variants")
+@query("identifier_query_variants", """
+SELECT product_key, 0 AS place, concat(split_part(title, ' ', 1), ' ', brand) AS query FROM v_products UNION ALL SELECT product_key, 1, title FROM v_products""", PRODUCTS)
 def _(spark, sf):
     return titles(spark, sf).select("product_key", F.posexplode(codes.identifier_query_variants(F.col("title"))).alias("place", "query"))
