@@ -1,5 +1,8 @@
 """Catalog search, card ranking and entity resolution over the test tables."""
 
+from difflib import SequenceMatcher
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from shelfline import bindings as b
@@ -174,11 +177,60 @@ def catalog(spark, sf):
     return cards_, offers.withColumn("match_conflicts", F.array().cast("array<string>"))
 
 
-@query("match_identities")
+# the names of the test tables, for the similarities that SQL cannot compute
+MODEL_NAMES = [first + last for first in ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+               for last in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")]
+BRAND_NAMES = [f"brand{n}" for n in range(1, 26)]
+
+
+def ratios(name, texts):
+    """Similarities of all pairs of names that can matter, as a table; the order of a pair counts."""
+    rows = [(a, b, 1.0 if a == b else SequenceMatcher(None, a, b).ratio()) for a, b in product(texts, texts)]
+    return f"{name}(a, b, r) AS (VALUES " + ", ".join(f"('{a}', '{b}', {r!r}::DOUBLE)" for a, b, r in rows if r > 0.5) + ")"
+
+
+#: The sequential walk as rounds: which identities have opened a product, and where, until nothing changes.
+WALK = f"""{ratios("model_ratio", MODEL_NAMES)}, {ratios("brand_ratio", BRAND_NAMES)},
+fresh AS (SELECT source, external_id, lower(trim(source)) AS source_key, brand, model, mpn, position, concat(lower(brand), '|', model, '|', coalesce(mpn, '')) AS u,
+    concat('1', position) AS place, concat('product-', substr(sha256(concat(lower(trim(source)), chr(1), external_id)), 1, 16)) AS own_key
+  FROM v_feed_items f WHERE NOT EXISTS (SELECT 1 FROM v_catalog_offers c WHERE c.source_key = lower(trim(f.source)) AND c.external_id = f.external_id)
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(source)), external_id ORDER BY position) = 1),
+stored AS (SELECT concat(lower(brand), '|', model, '|', coalesce(mpn, '')) AS u, min(concat('0', c.position, '#', c.product_key)) AS place
+  FROM v_catalog_products c JOIN v_products p USING (product_key) GROUP BY ALL),
+idents AS (SELECT DISTINCT u, lower(brand) AS brand, replace(model, ' ', '') AS model, mpn FROM (
+  SELECT u, brand, model, mpn FROM fresh UNION ALL SELECT s.u, p.brand, p.model, p.mpn FROM stored s JOIN v_products p ON concat(lower(p.brand), '|', p.model, '|', coalesce(p.mpn, '')) = s.u)),
+alike AS (SELECT c.u AS c, i.u AS i, CASE WHEN c.mpn = i.mpn THEN 'exact' WHEN c.brand = i.brand AND c.model = i.model THEN 'probable'
+    WHEN b.r >= 0.9 AND m.r >= 0.9 THEN 'probable' WHEN round(coalesce(b.r, 0) * 0.25 + m.r * 0.75, 4) >= 0.72 THEN 'review' END AS level,
+    CASE WHEN c.mpn = i.mpn THEN 0.99 WHEN c.brand = i.brand AND c.model = i.model THEN 0.9 ELSE round(coalesce(b.r, 0) * 0.25 + m.r * 0.75, 4) END AS score
+  FROM idents i JOIN model_ratio m ON m.b = i.model JOIN idents c ON c.model = m.a LEFT JOIN brand_ratio b ON b.a = c.brand AND b.b = i.brand WHERE i.u IN (SELECT u FROM fresh)
+  UNION ALL SELECT c.u, i.u, 'exact', 0.99 FROM idents i JOIN idents c ON c.mpn = i.mpn AND c.u <> i.u),
+asks AS (SELECT i, c, max(struct_pack(score, level)) AS best FROM alike WHERE level IS NOT NULL GROUP BY ALL),
+walk AS (
+  SELECT 0 AS round, u, min(place || '#' || own_key) AS place FROM fresh GROUP BY u
+  UNION ALL
+  SELECT round, u, min(place || '#' || own_key) FROM (
+    SELECT w.round + 1 AS round, f.u, f.place, f.own_key, arg_max(best.level, struct_pack(score := best.score, early := -rank)) AS level
+    FROM (SELECT DISTINCT round FROM walk) w CROSS JOIN fresh f LEFT JOIN (
+      SELECT a.i, a.best, t.place, dense_rank() OVER (ORDER BY t.place) AS rank FROM asks a JOIN (SELECT u, place FROM walk UNION ALL SELECT u, place FROM stored) t ON t.u = a.c) e
+      ON e.i = f.u AND e.place < f.place
+    WHERE w.round < 8 GROUP BY ALL)
+  WHERE level IS NULL OR level = 'review' GROUP BY round, u),
+places AS (SELECT u, place FROM walk WHERE round = (SELECT max(round) FROM walk) UNION ALL SELECT u, place FROM stored),
+decided AS (SELECT f.source, f.external_id, f.own_key, arg_max(struct_pack(level := best.level, score := best.score, key := string_split(e.place, '#')[2]),
+    struct_pack(score := best.score, early := -rank)) AS b
+  FROM fresh f LEFT JOIN (SELECT a.i, a.best, t.place, dense_rank() OVER (ORDER BY t.place) AS rank FROM asks a JOIN places t ON t.u = a.c) e ON e.i = f.u AND e.place < f.place
+  GROUP BY f.source, f.external_id, f.own_key),
+placed AS (SELECT source, external_id, CASE WHEN b.level IN ('exact', 'probable') THEN 'merged' ELSE 'created' END AS action,
+  CASE WHEN b.level IN ('exact', 'probable') THEN b.key ELSE own_key END AS product_key, coalesce(b.level, 'rejected') AS match_level, b.score AS match_score,
+  b.key AS match_candidate_key FROM decided)"""
+RESOLVED = ("v_feed_items", "v_catalog_offers", "v_catalog_products", "v_products")
+
+
+@query("match_identities", f"WITH {WALK} SELECT * FROM placed", RESOLVED)
 def _(spark, sf):
     cards_, offers = catalog(spark, sf)
     fresh = matching.new_items(offers, identified(b.view(spark, sf, "v_feed_items")).drop("brand", "model", "mpn"))
-    return matching.match_identities(fresh, cards_).select("source", "external_id", "action", "product_key", "match_level", "match_score")
+    return matching.match_identities(fresh, cards_).select("source", "external_id", "action", "product_key", "match_level", "match_score", "match_candidate_key")
 
 
 @query("new_items", """
@@ -202,7 +254,11 @@ def _(spark, sf):
     return matching.match_identities(fresh, nothing).join(opened, "product_key").select("source", "external_id", "action", "product_position")
 
 
-@query("update_catalog")
+@query("update_catalog", f"""
+WITH {WALK}, acted AS (SELECT CASE WHEN f.position = p.position THEN p.action ELSE 'updated' END AS action
+  FROM v_feed_items f LEFT JOIN (SELECT source, external_id, action, position FROM placed JOIN fresh USING (source, external_id)) p
+    ON lower(trim(p.source)) = lower(trim(f.source)) AND p.external_id = f.external_id)
+SELECT coalesce(action, 'updated') AS action, count(*) AS rows FROM acted GROUP BY ALL""", RESOLVED)
 def _(spark, sf):
     cards_, offers = catalog(spark, sf)
     feed = identified(b.view(spark, sf, "v_feed_items")).drop("brand", "model", "mpn")
