@@ -340,3 +340,18 @@ def _(spark, sf):
     nested = store.nest_catalog(products(spark, sf), stored(spark, sf))
     return nested.groupBy("product_key", "title").agg(F.sum(F.size("offers")).cast("bigint").alias("offers"),
                                                       F.min(F.col("offers")[0]["position"]).alias("first_position"))
+
+
+@query("bootstrap_if_empty", """
+SELECT 'first' AS step, count(*) AS imported, (SELECT count(*) FROM v_catalog_offers) AS offers FROM v_catalog_products
+UNION ALL SELECT 'again', 0, (SELECT count(*) FROM v_catalog_offers)""", CATALOG)
+def _(spark, sf):
+    place = f"{shared_dir(spark)}/bootstrap-{uuid.uuid4().hex}"
+    cards, offers = products(spark, sf), stored(spark, sf)
+    store.export_catalog_json(cards, offers, f"{place}/json")
+    steps = []
+    for step in ("first", "again"):
+        imported = store.bootstrap_if_empty(spark, f"{place}/catalog", f"{place}/json", cards.schema, offers.schema)
+        kept = store.load_catalog(spark, f"{place}/catalog")[1]
+        steps.append(kept.agg(F.count(F.lit(1)).alias("offers")).select(F.lit(step).alias("step"), F.lit(imported).cast("bigint").alias("imported"), "offers"))
+    return steps[0].unionByName(steps[1])

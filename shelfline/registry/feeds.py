@@ -157,6 +157,18 @@ def _(spark, sf):
     return report
 
 
+@query("write_import_report", f"""
+WITH {ISSUES}, written AS (SELECT field, message FROM issues UNION ALL SELECT 'json', 'Expecting value' FROM v_feed WHERE source IS NULL)
+SELECT 'rejected' AS status, false AS dry_run, {COUNTED}, 0 AS created_products, field, message, count(*) AS issues FROM written GROUP BY field, message""", FEED)
+def _(spark, sf):
+    place = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    report, issues = import_feed.import_feed(spark, written_feed(spark, sf, "jsonl"), f"{place}/catalog", b.now().cast("timestamp"), format_hint="jsonl")
+    store.write_import_report(report, issues, place)
+    counted = spark.read.json(f"{place}/issues").groupBy("field", "message").agg(F.count(F.lit(1)).alias("issues"))
+    return spark.read.json(f"{place}/report").join(counted).select(
+        "status", "dry_run", "total_records", "valid_records", "invalid_records", "created_products", "field", "message", "issues")
+
+
 @query("offer_to_item", """
 SELECT position, substr(sha256(lower(trim(url))), 1, 24) AS external_id,
   substr(sha256(concat_ws('|', lower(trim(source)), lower(trim(title)), coalesce(lower(trim(seller)), ''))), 1, 24) AS fallback_id FROM v_offers""",

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfline import bindings as b
 from shelfline.operators import filters, matching, search
+from shelfline.plans import compare_batch
 from shelfline.plans.import_feed import update_catalog
+from shelfline.registry.prices import OUTLIERS, PLAUSIBLE
+from shelfline.registry.titles import REASON, SAID
 from shelfline.registry.base import Registry
 
 registry = Registry()
@@ -62,6 +65,51 @@ def _(spark, sf):
     return search.search_catalog(requests(spark, sf), products(spark, sf), b.view(spark, sf, "v_catalog_offers"), limit=10)
 
 
+ASKED = """
+SELECT DISTINCT concat(CASE p_type WHEN 'ECONOMY' THEN 'Apple iPhone' WHEN 'LARGE' THEN 'laptop' WHEN 'PROMO' THEN 'case' ELSE 'device' END, ' ', lower(brand), ' ', model) AS query
+FROM {v_products} UNION ALL SELECT 'no such gadget'"""
+TOP = f"""asked AS (SELECT concat('q-', query) AS request_id, query FROM ({ASKED.format(v_products='v_products')})), {VALUES.replace('v_model_requests', 'asked')},
+found AS (SELECT request_id, product_key, title, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, lower(title), product_key) AS place
+  FROM best JOIN v_products USING (product_key) QUALIFY place <= 10),
+{SAID}, judged AS (SELECT f.request_id, o.source, o.title, o.price, o.currency, o.available, o.url, o.position, {REASON} IS NULL AS accepted, coalesce({REASON}, 'exact_match') AS reason
+  FROM found f JOIN v_catalog_offers o USING (product_key) JOIN v_products op USING (product_key) JOIN found s ON s.request_id = f.request_id AND s.place = 1
+  JOIN v_products sp ON sp.product_key = s.product_key JOIN said r ON r.title = s.title AND r.p_type = sp.p_type JOIN said c ON c.title = o.title AND c.p_type = op.p_type
+  WHERE o.source NOT LIKE '%7')"""
+BATCH = (*CATALOG, "v_shown")
+
+
+def searched(spark, sf):
+    """Every kind of card asked for in words; sources whose number ends in seven do not answer."""
+    asked = b.from_sql(spark, sf, ASKED).select(F.concat(F.lit("q-"), "query").alias("request_id"), "query")
+    offers = b.view(spark, sf, "v_catalog_offers").withColumn("seller", F.lit(None).cast("string"))
+    failed = offers.select("source").distinct().filter("source LIKE '%7'")
+    return asked, compare_batch.run_search_batch(asked, products(spark, sf), offers, failed)
+
+
+@query("run_comparison_batch", f"""
+WITH {TOP}, usable AS (SELECT * FROM judged WHERE accepted AND available AND {PLAUSIBLE}), {OUTLIERS.replace('product_key', 'request_id')},
+cheapest AS (SELECT * FROM sane QUALIFY row_number() OVER (PARTITION BY request_id, source ORDER BY price, position) = 1),
+state AS (SELECT request_id, source, bool_or(accepted) AS matched, count(*) AS checked FROM judged GROUP BY ALL),
+dead AS (SELECT DISTINCT source FROM v_catalog_offers WHERE source LIKE '%7')
+SELECT a.request_id, a.query, (SELECT count(*) FROM found f WHERE f.request_id = a.request_id) AS candidates, s.product_key AS selected_key, s.title AS wanted_title,
+  CASE WHEN s.product_key IS NULL THEN 'no candidates' END AS error, (SELECT count(*) FROM cheapest c WHERE c.request_id = a.request_id) AS offers,
+  (SELECT min(price) FROM cheapest c WHERE c.request_id = a.request_id) AS price,
+  CASE WHEN s.product_key IS NOT NULL THEN (SELECT count(*) FILTER (matched) FROM state t WHERE t.request_id = a.request_id) END AS found_sources,
+  CASE WHEN s.product_key IS NOT NULL THEN (SELECT count(*) FILTER (NOT matched) FROM state t WHERE t.request_id = a.request_id) END AS filtered_sources,
+  CASE WHEN s.product_key IS NOT NULL THEN (SELECT count(*) FROM dead) END AS failed_sources,
+  CASE WHEN s.product_key IS NOT NULL THEN (SELECT coalesce(sum(checked), 0)::BIGINT FROM state t WHERE t.request_id = a.request_id) END AS checked_candidates
+FROM asked a LEFT JOIN (SELECT * FROM found WHERE place = 1) s USING (request_id)""", BATCH)
+def _(spark, sf):
+    asked, batch = searched(spark, sf)
+    return compare_batch.search_report(asked, batch, b.now()).select(
+        "request_id", "query", "candidates", "selected_key", "wanted_title", "error", "offers", "best.price", "found_sources", "filtered_sources", "failed_sources", "checked_candidates")
+
+
+@query("comparison_decisions", f"WITH {TOP} SELECT DISTINCT request_id, source, title, accepted, reason FROM judged", BATCH)
+def _(spark, sf):
+    return searched(spark, sf)[1].comparison.decisions
+
+
 @query("simple_search", """
 WITH t AS (SELECT product_key, lower(title) AS t FROM v_products UNION SELECT product_key, lower(title) FROM v_catalog_offers)
 SELECT request_id, product_key, max(CASE WHEN t = lower(query) THEN 3 WHEN starts_with(t, lower(query)) THEN 2 ELSE 1 END) AS score

@@ -142,14 +142,18 @@ def _(spark, sf):
     return features.build_identity(titles(spark, sf).select("product_key", "title")).select("product_key", "title", "identity.brand", "identity.model", "identity.memory", "identity.color")
 
 
+# a feed names memory and colour in its own way; what it leaves out is read from the title
 @query("build_identities_from_feed", """
 SELECT product_key, lower(brand) AS brand, model, lower(mpn) AS mpn,
-  CASE WHEN p_type = 'LARGE' THEN concat(regexp_extract(title, '([0-9]+)/512', 1), 'GB/512GB') ELSE regexp_extract(title, '([0-9]+GB)', 1) END AS memory
-FROM v_products""", PRODUCTS)
+  CASE p_size % 3 WHEN 0 THEN '32GB' WHEN 1 THEN '8GB/1TB'
+    ELSE CASE WHEN p_type = 'LARGE' THEN concat(regexp_extract(title, '([0-9]+)/512', 1), 'GB/512GB') ELSE regexp_extract(title, '([0-9]+GB)', 1) END END AS memory,
+  CASE p_size % 2 WHEN 0 THEN 'dark_blue' ELSE 'sea_foam' END AS color FROM v_products""", PRODUCTS)
 def _(spark, sf):
-    given = {"brand": F.col("brand"), "model": F.col("model"), "mpn": F.col("mpn")}
-    built = features.build_identity(b.view(spark, sf, "v_products"), "title", given)
-    return built.select("product_key", "identity.brand", "identity.model", "identity.mpn", "identity.memory")
+    shown = b.view(spark, sf, "v_products")
+    memory = F.when(F.col("p_size") % 3 == 0, "32 gb").when(F.col("p_size") % 3 == 1, "8/1TB")
+    color = F.when(F.col("p_size") % 2 == 0, "Dark Blue").otherwise("Sea-foam")
+    given = {"brand": F.col("brand"), "model": F.col("model"), "mpn": F.col("mpn"), "memory": memory, "color": color}
+    return features.build_identity(shown, "title", given).select("product_key", "identity.brand", "identity.model", "identity.mpn", "identity.memory", "identity.color")
 
 
 POOL = ["model", "p_type", "brands"]
@@ -173,8 +177,9 @@ SAID = """said AS (SELECT DISTINCT title, model, p_type, brand, brands, regexp_e
   FROM v_shown)"""
 VARIANT = """CASE WHEN r.condition <> c.condition THEN 'condition' WHEN r.memory <> c.memory THEN 'memory'
   WHEN r.region <> c.region THEN 'region' WHEN r.sim <> c.sim THEN 'sim' END"""
-# the colour is part of the model name here, so cards of one pool never differ in it
-REASON = f"""CASE WHEN r.generation <> c.generation THEN 'model_number' WHEN r.brand <> c.brand THEN 'model_code' ELSE {VARIANT} END"""
+# the colour goes with the first word of the model name, which also stands where a laptop's brand is looked for; in a pool the names are equal
+REASON = f"""CASE WHEN r.generation <> c.generation THEN 'model_number' WHEN r.brand <> c.brand THEN 'model_code'
+  WHEN r.title LIKE 'laptop%' AND r.model <> c.model THEN 'brand' ELSE coalesce({VARIANT}, CASE WHEN r.model <> c.model THEN 'color' END) END"""
 
 
 @query("match_offers_to_reference", f"""
