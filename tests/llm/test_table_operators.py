@@ -128,6 +128,19 @@ def test_top_k_odd_rows(spark):
     assert top_k(few, few.filter("vec_id = 0"), 10).count() == 3
 
 
+def test_top_k_with_large_components(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 10.0 ** int(rng.integers(0, 9))]) for i in range(40)]
+    rows += [(100, [40000.0] + [1.0] * 7), (200, [1.0, 2.0] + [0.0] * 6), (300, [1e300, -1e300] + [0.0] * 6), (400, [float(2 ** 31)] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    cut = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k_of_every_hundredth(table).collect()}
+    for q in (0, 100, 200, 300, 400):
+        want = sorted((-cut(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in want], q
+
+
 SECRET = "AKIA" + "Q7ZK2M4N8P1R5T3V"
 
 
@@ -202,6 +215,47 @@ def test_surrogates(spark):
         assert pseudonymise(odd).drop("n_surrogates").exceptAll(odd).count() == 0
 
 
+PRIVATE = [
+    ("Mr John Smith spoke. Smith said yes, and John left; SMITH too, but not Smithson.", ["John", "Smith ", "SMITH"], 4),
+    ("MR BROWN, Dr Jones and Prof. Adams met Mr J. Doe.", ["BROWN", "Jones", "Adams", "Doe"], 4),
+    ("Call 555-123-4567, 020 7946 0958 or +33 1 23 45 67 89.", ["555-123", "7946", "23 45"], 3),
+    ("Г-н Иванов и Госпожа Анна Петрова; Иванов ушёл.", ["Иванов", "Анна", "Петрова"], 3),
+    ("Mrs Mary-Jane O'Brien and Herr Ludwig van der Berg, then Berg again.", ["Mary", "Jane", "Brien", "Ludwig", "Berg"], 3)]
+PUBLIC = ["On 2024-01-15 10:30 we had 1 200 300 visits, version 1.2.3, room 12-34, 50 60 70 80 90.", "The doctor saw Profit and Misses; mr smith wrote in lower case.",
+          "ISBN 978-3-16-148410-0 costs 0.50 or 0,75, ratio 1234567890123456, part 000-111"]
+
+
+def test_every_mention_and_shape_of_personal_data(spark):
+    rows = [(i, t) for i, (t, _, _) in enumerate(PRIVATE)] + [(100 + i, t) for i, t in enumerate(PUBLIC)]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (text, private, n) in enumerate(PRIVATE):
+        assert not any(p in got[i].text for p in private) and got[i].n_surrogates == n, got[i]
+    assert [got[100 + i].text for i in range(len(PUBLIC))] == PUBLIC and all(got[100 + i].n_surrogates == 0 for i in range(len(PUBLIC)))
+    first = re.match(r"Mr (\w+) (\w+) spoke. (\w+) said yes, and (\w+) left; (\w+) too, but not Smithson\.$", got[0].text)
+    assert first[2] == first[3] == first[5].capitalize() and first[5].isupper() and first[1] == first[4]
+    assert re.fullmatch(r"MR [A-Z]+, Dr [A-Z][a-z]+ and Prof\. [A-Z][a-z]+ met Mr [A-Z]\. [A-Z][a-z]+\.", got[1].text)
+    assert re.fullmatch(r"Call 5\d\d-\d{3}-\d{4}, 0\d\d \d{4} \d{4} or \+3\d \d \d\d \d\d \d\d \d\d\.", got[2].text)
+    assert re.fullmatch(r"Mrs [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+'[A-Z][a-z]+ and Herr [A-Z][a-z]+ van der ([A-Z][a-z]+), then \1 again\.", got[4].text)
+
+
+def test_surrogates_where_all_forms_are_real(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(i, f"{a}@{b}.org") for i, (a, b) in enumerate((a, b) for a in letters for b in letters)], "doc_id long, text string")
+    got = [r.text for r in pseudonymise(docs.withColumn("n_surrogates", F.lit("old")), "k").collect()]
+    assert len(set(got)) == 676 and not set(got) & {r.text for r in docs.collect()} and all(re.fullmatch(r"[a-z]+@[a-z]\.org", t) for t in got)
+
+
+def test_nothing_private_is_left_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    written_tables = []
+    from shelfline.llm import pii
+
+    monkeypatch.setattr(pii, "stored", lambda df, name: written_tables.append(df.cache()) or df)
+    rows = [(1, "Mr John Smithers, john.smithers@example.com, 10.20.30.40, +1 (988) 555-2485, 4111 1111 1111 1111")]
+    pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    kept = " ".join(str(r) for df in written_tables for r in df.collect()).lower()
+    assert written_tables and not any(p in kept for p in ("john", "smithers", "example", "10.20.30", "9885552485", "41111111"))
+
+
 def test_pipeline(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_dedup", "secrets", "mixing", "bpe"]
@@ -216,4 +270,4 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     queries = entry.queries()
-    assert all(any(name.startswith(f"op{n}_") for name in queries) for n in range(1, 11))
+    assert all(any(name.startswith(f"op{n}_") for name in queries) for n in range(1, 14))
