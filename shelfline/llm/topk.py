@@ -7,10 +7,12 @@ one segment to sixteen; rows whose bound falls below the query's k-th best exact
 integer products are computed for the survivors only. The first rows that get exact scores are those with the highest coarse bounds.
 
 Queries and rows meet in blocks: rows are dealt into blocks of about `ROW_BLOCK` and queries into blocks of about `QUERY_BLOCK`; every
-pair of blocks is one group of bounded size and leaves k candidates per query, of which the best k over all row blocks remain.
+pair of blocks is one group of bounded size and leaves k candidates per query, of which the best k over all row blocks remain. So a row is
+copied once per `QUERY_BLOCK` queries; inside a group, queries are taken `CHUNK` at a time.
 
 Defined results: components are floor(1024 * x) of the double x. Vectors that are null, empty, or hold a null or non-finite component
-or one beyond +-2^25 take no part, nor do null ids. Only vectors of equal length are compared. Rows that repeat an id are one row if
+take no part, nor do null ids. Vectors with components so large that a product could leave 64 bits are scored with whole numbers of
+any length; a score beyond 64 bits is given as the nearest 64-bit number (ties to the smaller id). Only vectors of equal length are compared. Rows that repeat an id are one row if
 their vectors agree; otherwise each is a candidate of its own and, for a query id, each is a query and none its candidate. Ties go to
 the smaller id. An empty table gives an empty result; other columns are ignored.
 """
@@ -27,20 +29,47 @@ from shelfline.llm.common import stored
 
 LEVELS = (1, 4, 16)
 ROW_BLOCK = 16_384
-QUERY_BLOCK = 512
-LARGEST = float(1 << 25)
+QUERY_BLOCK = 4096
+CHUNK = 256
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 RESULT = "query_id long, q_hash long, vec_id long, score long"
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vec (array<long>), dim and hash of the vectors that take part; repeated rows once."""
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
-    whole = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
-        "embedding", lambda x: F.coalesce(F.abs(x.cast("double")) * 1024 < LARGEST, F.lit(False)))
-    return embeddings.filter(F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("long"), scaled.alias("vec")).distinct().withColumns(
+    """vec_id, vec (array<double> of whole numbers), dim and hash of the vectors that take part; repeated rows once."""
+    # rounding down with a scale keeps a double; floor alone would be cut to 64 bits
+    scaled = F.transform("embedding", lambda x: whole_below(x.cast("double") * 1024))
+    finite = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
+        "embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    return embeddings.filter(F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), scaled.alias("vec")).distinct().withColumns(
         {"dim": F.size("vec"), "hash": F.xxhash64("vec")})
 
 
+def whole_below(x):
+    """The greatest whole number not above a double, as a double; from 2^52 on all doubles are whole."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+
+
+class Exact:
+    """Inner products of queries and rows without rounding: 64-bit integers where no sum can leave them, else Python integers."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray):
+        limit = 2.0 ** 31 / np.sqrt(rows.shape[1]) - 1
+        self.queries, self.rows = queries, rows
+        self.wide_query, self.wide_row = (np.abs(m).max(axis=1, initial=0) > limit for m in (queries, rows))
+        self.int_queries, self.int_rows = (np.where(wide[:, None], 0, m).astype(np.int64) for wide, m in ((self.wide_query, queries), (self.wide_row, rows)))
+
+    def scores(self, query: int, rows: np.ndarray) -> np.ndarray:
+        wide = self.wide_row[rows] | self.wide_query[query]
+        found = self.int_rows[rows] @ self.int_queries[query]
+        if wide.any():
+            own = [int(x) for x in self.queries[query]]
+            for at in np.nonzero(wide)[0]:
+                total = sum(a * int(b) for a, b in zip(own, self.rows[rows[at]], strict=True))
+                found[at] = min(max(total, LEAST), GREATEST)
+        return found
+
+
 class Statistics:
     """Means and deviations of equal segments of the rows of a matrix, scaled so that a bound is one matrix product."""
 
@@ -59,31 +88,39 @@ class Statistics:
 
 def top_of_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[tuple]:
     """Per query the k best rows of the block, exactly: (query id, query hash, row ids, scores)."""
-    (q_ids, q_hashes, q_int), (ids, x_int) = queries, rows
-    q, x = Statistics(q_int.astype(np.float64)), Statistics(x_int.astype(np.float64))
-    coarse = q.levels[0] @ x.levels[0].T
-    # rounding: a bound may be too small by a few units in the last place of the norms' product
-    norms = np.sqrt((x_int.astype(np.float64) ** 2).sum(axis=1))
-    slack = 1e-9 * np.sqrt((q_int.astype(np.float64) ** 2).sum(axis=1))[:, None] * norms + 1e-6
-    coarse += slack
-    for i in range(len(q_ids)):
-        other = ids != q_ids[i]
-        alive = np.nonzero(other)[0]
+    (q_ids, q_hashes, q_all), (ids, x_all) = queries, rows
+    exact = Exact(q_all, x_all)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = Statistics(x_all)
+        norms = np.sqrt((x_all ** 2).sum(axis=1))
+        for start in range(0, len(q_ids), CHUNK):
+            yield from top_of_chunk(slice(start, start + CHUNK), q_ids, q_hashes, q_all, ids, x, norms, exact, k)
+
+
+def top_of_chunk(part: slice, q_ids, q_hashes, q_all, ids, x: Statistics, norms: np.ndarray, exact: Exact, k: int) -> Iterator[tuple]:
+    own = q_all[part]
+    q = Statistics(own)
+    # rounding: a bound may be too small by a few units in the last place of the norms' product; what cannot be bounded may be best
+    slack = 1e-9 * np.sqrt((own ** 2).sum(axis=1))[:, None] * norms + 1e-6
+    coarse = np.nan_to_num(q.levels[0] @ x.levels[0].T + slack, nan=np.inf, posinf=np.inf)
+    for i in range(len(own)):
+        query = part.start + i
+        alive = np.nonzero(ids != q_ids[query])[0]
         if len(alive) > k:
             start = alive[np.argpartition(-coarse[i, alive], k - 1)[:k]]
-            least = (x_int[start] @ q_int[i]).min()
+            least = exact.scores(query, start).min()
             alive = alive[coarse[i, alive] >= least]
             for level in range(1, len(LEVELS)):
                 if len(alive) <= k:
                     break
-                bound = x.levels[level][alive] @ q.levels[level][i] + slack[i, alive]
+                bound = np.nan_to_num(x.levels[level][alive] @ q.levels[level][i] + slack[i, alive], nan=np.inf, posinf=np.inf)
                 # the rows that look best at this level raise the score to beat
                 best = alive[np.argpartition(-bound, k - 1)[:k]]
-                least = max(least, (x_int[best] @ q_int[i]).min())
+                least = max(least, exact.scores(query, best).min())
                 alive = alive[bound >= least]
-        scores = x_int[alive] @ q_int[i]
-        order = np.lexsort((ids[alive], -scores))[:k]
-        yield q_ids[i], q_hashes[i], ids[alive][order], scores[order]
+        scores = exact.scores(query, alive)
+        order = np.lexsort((ids[alive], ~scores))[:k]
+        yield q_ids[query], q_hashes[query], ids[alive][order], scores[order]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
