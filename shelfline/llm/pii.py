@@ -21,7 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfline.functions.text import let
 from shelfline.llm.common import stored
+from shelfline.session import evaluate_once
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -43,7 +45,9 @@ def _any_case(titles: list[str]) -> list[str]:
     return titles + [t.upper() for t in titles]
 
 
-TITLE = rf"(?:{'|'.join(sorted(_any_case(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), key=len, reverse=True))})\.? "
+ALL_TITLES = sorted(_any_case(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), key=len, reverse=True)
+#: The first letters come first, so that most places need one look.
+TITLE = rf"(?=[{''.join(sorted({t[0] for t in ALL_TITLES}))}])(?:{'|'.join(ALL_TITLES)})\.? "
 NAME_WORD = r"(?:\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?|\p{Lu}{2,}|\p{Lu}(?=['’\-]\p{L}))(?:['’\-]\p{L}+)*"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}(?:\p{{Lu}}\. ?){{0,3}}{NAME_WORD}(?: (?:(?:{PARTICLES}) ){{0,2}}(?:\p{{Lu}}\. )?{NAME_WORD}){{0,2}}(?!\p{{L}})"
 ENTITY = "|".join([EMAIL, IPV4, PHONE, CARD, NAME])
@@ -88,27 +92,36 @@ def name_type(piece: Column, last: Column, title: Column) -> Column:
     return F.concat(F.when(piece.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin"), F.lit("-"), role)
 
 
-def known_words(text: Column) -> Column:
-    """(word, type) of the names that titles introduce in a text; a word with several roles has the first of them."""
-    names = F.filter(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda v: v.rlike(rf"^{TITLE}"))
-    typed = F.flatten(F.transform(names, lambda v: F.transform(pieces(without_title(v)), lambda p, i: F.struct(
-        F.lower(p).alias("word"), name_type(p, i == F.size(pieces(without_title(v))) - 1, F.regexp_extract(v, rf"^{TITLE}", 0)).alias("type")))))
-    full = F.array_sort(F.array_distinct(F.filter(typed, lambda w: (F.char_length(w["word"]) > 1) & ~w["word"].endswith("."))))
-    return F.filter(full, lambda w, i: (i == 0) | (F.get(full, i - 1)["word"] != w["word"]))
+def known_words(found: Column) -> Column:
+    """(word, type) of the names that titles introduce among the entities of a text; a word with several roles has the first of them."""
+    def typed(name: Column) -> Column:
+        title = F.regexp_extract(name, rf"^{TITLE}", 0)
+        return let(pieces(without_title(name)), lambda words: F.transform(words, lambda p, i: F.struct(
+            F.lower(p).alias("word"), name_type(p, i == F.size(words) - 1, title).alias("type"))))
+
+    names = F.filter(found, lambda v: v.rlike(rf"^{TITLE}"))
+    words = F.filter(F.flatten(F.transform(names, typed)), lambda w: (F.char_length(w["word"]) > 1) & ~w["word"].endswith("."))
+    return let(F.array_sort(F.array_distinct(words)), lambda all_words: F.filter(all_words, lambda w, i: (i == 0) | (F.get(all_words, i - 1)["word"] != w["word"])))
 
 
 def pattern_of(known: Column) -> Column:
-    """The entities of a text, further mentions of its names included."""
+    """The entities of a text and further mentions of the names in it."""
     words = F.array_join(F.flatten(F.transform(known, lambda w: F.array(F.initcap(w["word"]), F.upper(w["word"])))), "|")
-    return F.when(F.size(known) > 0, F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(ENTITY)
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """Rows with an entity: the row, its digest, the names known in it, and all matches."""
+    """Rows with an entity: the row, its digest, the names known in it, all matches and the text between them."""
     rows = docs.filter(has_entity(F.col("text"))).select(F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumn("of_row", F.sha2(F.to_json("row"), 256)).withColumn("known", known_words(F.col("row.text")))
-    rows = rows.withColumn("pattern", pattern_of(F.col("known")))
-    return rows.withColumn("found", F.regexp_extract_all("row.text", F.col("pattern"), F.lit(0)))
+    # every step is evaluated once per row
+    rows = evaluate_once(rows, ["row"], {"of_row": F.sha2(F.to_json("row"), 256), "first": F.regexp_extract_all("row.text", F.lit(ENTITY), F.lit(0))})
+    rows = evaluate_once(rows, ["row", "of_row", "first"], {"known": known_words(F.col("first"))})
+    # most texts have no name, and their matches are known already
+    alone = F.size("known") == 0
+    rows = evaluate_once(rows, ["row", "of_row", "first", "known"], {"pattern": F.when(~alone, pattern_of(F.col("known")))})
+    return evaluate_once(rows, ["row", "of_row", "known"], {
+        "found": F.when(alone, F.col("first")).otherwise(F.regexp_extract_all("row.text", F.col("pattern"), F.lit(0))),
+        "gaps": F.when(alone, F.split("row.text", ENTITY, -1)).otherwise(F.split("row.text", F.col("pattern"), -1))})
 
 
 def digest(key: str, kind: Column, canonical: Column) -> Column:
@@ -224,7 +237,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     named = found.join(pairs, (F.col("type") == F.col("s_type")) & (F.col("id") == F.col("s_id")))
     places = named.groupBy("of_row", "k").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate", "type"))).alias("news"))
     texts = places.groupBy(F.col("of_row").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("k", "news"))).alias("news"))
-    joined = rows.join(texts, F.col("of_row") == F.col("of"), "left").select("row", "news", "found", F.split("row.text", F.col("pattern"), -1).alias("gaps"))
+    joined = rows.join(texts, F.col("of_row") == F.col("of"), "left").select("row", "news", "found", "gaps")
 
     def replaced(value: Column, news: Column) -> Column:
         title = F.regexp_extract(value, rf"^{TITLE}", 0)
