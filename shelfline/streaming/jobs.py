@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,10 +69,13 @@ ALERT_TYPE = T.StructType([
 
 
 class LowestPriceAlert(StatefulProcessor):
-    """Remembers the last notified price of a key and emits once per new low."""
+    """Remembers the last notified price of a key and emits once per new low.
+
+    The baseline it started from is remembered too: a subscription that names another one has been renewed, and the new baseline wins.
+    """
 
     def init(self, handle) -> None:
-        self._last = handle.getValueState("last_notified", T.StructType([T.StructField("price", T.DoubleType())]))
+        self._last = handle.getValueState("last_notified", T.StructType([T.StructField("price", T.DoubleType()), T.StructField("baseline", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lowest = baseline = None
@@ -79,9 +83,12 @@ class LowestPriceAlert(StatefulProcessor):
             low = float(chunk["price"].min())
             lowest = low if lowest is None else min(lowest, low)
             baseline = float(chunk["last_notified_price"].iloc[0])
-        last = self._last.get()[0] if self._last.exists() else baseline
-        if lowest is not None and lowest < last:
-            self._last.update((lowest,))
+        last, started = self._last.get() if self._last.exists() else (baseline, baseline)
+        if started != baseline:
+            last = baseline
+        fires = lowest is not None and lowest < last
+        self._last.update((lowest if fires else last, baseline))
+        if fires:
             yield pd.DataFrame([(*key, lowest, last)], columns=ALERT_TYPE.names)
 
     def close(self) -> None:
@@ -94,14 +101,96 @@ def stream_price_alerts(prices: DataFrame, subscriptions: DataFrame) -> DataFram
     A micro-batch is one check: the lowest sellable price of a product and currency in it counts.
     """
     use_rocksdb(prices.sparkSession)
-    sellable = prices.filter(finite(F.col("price")) & (F.col("price") >= 0)).withColumn("currency", F.lower("currency"))
     watched = subscriptions.filter("active").select(
         F.col("chat_id").cast("bigint"), "product_key", F.lower("currency").alias("currency"), F.col("last_notified_price").cast("double"))
-    joined = sellable.select("product_key", "currency", "price").join(watched, ["product_key", "currency"])
+    joined = _sellable(prices).select("product_key", "currency", "price").join(watched, ["product_key", "currency"])
     return joined.groupBy("chat_id", "product_key", "currency").transformWithStateInPandas(
         LowestPriceAlert(), ALERT_TYPE, "Append", "None")
 
 
+def _sellable(prices: DataFrame) -> DataFrame:
+    return prices.filter(finite(F.col("price")) & (F.col("price") >= 0)).withColumn("currency", F.lower("currency"))
+
+
+WATCH_TYPE = T.StructType([
+    T.StructField("chat_id", T.LongType()), T.StructField("product_key", T.StringType()), T.StructField("currency", T.StringType()),
+    T.StructField("price", T.DoubleType()), T.StructField("previous_price", T.DoubleType()), T.StructField("observed_at", T.TimestampType())])
+
+
+class WatchedPrice(StatefulProcessor):
+    """All subscriptions of one product and currency, moved by toggles and prices in the order of their times.
+
+    A toggle switches a subscription on with its own price as the baseline, or off. A price below the baseline of an active subscription
+    fires and becomes its baseline. At one instant toggles come before prices.
+    """
+
+    def init(self, handle) -> None:
+        self._watchers = handle.getMapState("watchers", T.StructType([T.StructField("chat_id", T.LongType())]),
+                                            T.StructType([T.StructField("active", T.BooleanType()), T.StructField("baseline", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one price per instant (the lowest) and the toggles: what came before is already combined per task
+        lows: dict[int, float] = {}
+        toggles: list[tuple[int, int, int, float]] = []
+        for chunk in rows:
+            for at, chat, place, price in zip(chunk["at"].tolist(), chunk["chat_id"].tolist(), chunk["position"].tolist(), chunk["price"].tolist(), strict=True):
+                if place < 0:
+                    lows[at] = min(price, lows.get(at, price))
+                else:
+                    toggles.append((at, place, chat, price))
+        watchers = {k[0]: v for k, v in self._watchers.iterator()}
+        fired, changed = [], set()
+        events = sorted([(at, 0, place, chat, price) for at, place, chat, price in toggles] + [(at, 1, 0, 0, price) for at, price in lows.items()])
+        # only watchers whose baseline is above a price are looked at: the highest baselines come first
+        above = [(-b, chat) for chat, (active, b) in watchers.items() if active]
+        heapq.heapify(above)
+        for at, is_price, _, chat, price in events:
+            if not is_price:
+                active, baseline = watchers.get(chat, (False, None))
+                watchers[chat] = (not active, baseline if active else price)
+                changed.add(chat)
+                if not active:
+                    heapq.heappush(above, (-price, chat))
+                continue
+            while above and -above[0][0] > price:
+                baseline, one = -above[0][0], heapq.heappop(above)[1]
+                # entries of switched off or renewed subscriptions are stale
+                if watchers[one] == (True, baseline):
+                    fired.append((one, *key, price, baseline, at))
+                    watchers[one] = (True, price)
+                    changed.add(one)
+                    heapq.heappush(above, (-price, one))
+        for chat in changed:
+            self._watchers.updateValue((chat,), watchers[chat])
+        if fired:
+            out = pd.DataFrame(fired, columns=WATCH_TYPE.names)
+            out["observed_at"] = pd.to_datetime(out["observed_at"], unit="us")
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_watched_prices(prices: DataFrame, toggles: DataFrame) -> DataFrame:
+    """Alerts from two streams: observed prices and toggles of subscriptions, both with observed_at.
+
+    ``prices(product_key, currency, price, observed_at)``, ``toggles(chat_id, product_key, currency, price, position, observed_at)``.
+    Every price is a check of its own; within a micro-batch both streams are taken in the order of time.
+    """
+    use_rocksdb(prices.sparkSession)
+    at = F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at")
+    seen = _sellable(prices).select("product_key", "currency", at, F.lit(-1).cast("bigint").alias("chat_id"), F.lit(-1).cast("bigint").alias("position"), F.col("price").cast("double"))
+    turned = _sellable(toggles).select("product_key", "currency", at, F.col("chat_id").cast("bigint"), F.col("position").cast("bigint"), F.col("price").cast("double"))
+
+    def lowest_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(["product_key", "currency", "at", "chat_id", "position"], as_index=False)["price"].min()
+
+    # a hot product's prices are combined in every task before they meet
+    combined = seen.mapInPandas(lowest_per_instant, seen.schema).unionByName(turned)
+    return combined.groupBy("product_key", "currency").transformWithStateInPandas(WatchedPrice(), WATCH_TYPE, "Append", "None")
+
+
 def stream_min_price(prices: DataFrame, delay: str = "1 hour", window: str = "1 day", slide: str | None = None) -> DataFrame:
     """Cheapest observation per product, currency and event-time window; rows later than the delay are dropped."""
     span = F.window("observed_at", window, slide) if slide else F.window("observed_at", window)
@@ -162,10 +251,30 @@ def stream_stale_watch(updates: DataFrame, fresh_hours: float, delay: str = "1 h
 SUBSCRIPTION_TYPE = T.StructType([
     T.StructField("chat_id", T.LongType()), T.StructField("product_key", T.StringType()), T.StructField("active", T.BooleanType()),
     T.StructField("last_notified_price", T.DoubleType()), T.StructField("position", T.LongType())])
+#: Toggles of a subscription, combined: how many, and the last two by position (the one before may be missing).
+PART_TYPE = T.StructType([
+    T.StructField("chat_id", T.LongType()), T.StructField("product_key", T.StringType()), T.StructField("flips", T.LongType()),
+    T.StructField("position", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("before", T.LongType()), T.StructField("price_before", T.DoubleType())])
+
+
+def combined_toggles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per subscription of a batch."""
+    for batch in batches:
+        last = batch.sort_values("position", kind="stable").groupby(["chat_id", "product_key"], sort=False)
+        ends = last.tail(1).set_index(["chat_id", "product_key"])[["position", "price"]]
+        ends["flips"] = last.size()
+        two = last.tail(2)
+        before = two[two.duplicated(["chat_id", "product_key"], keep="last")].set_index(["chat_id", "product_key"])
+        ends["before"] = before["position"].reindex(ends.index).fillna(-1).astype("int64")
+        ends["price_before"] = before["price"].reindex(ends.index)
+        yield ends.reset_index()[PART_TYPE.names]
 
 
 class Subscription(StatefulProcessor):
-    """Current state of one subscription; every valid toggle flips it, switching on renews the baseline."""
+    """Current state of one subscription; every valid toggle flips it, switching on renews the baseline.
+
+    A batch's toggles come as combined parts; only their number and the last two matter, so parts merge one after the other.
+    """
 
     def init(self, handle) -> None:
         self._state = handle.getValueState("state", T.StructType([
@@ -173,14 +282,19 @@ class Subscription(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         active, baseline = self._state.get() if self._state.exists() else (False, None)
-        # toggles of one person for one product: a handful, put in order here
-        toggles = pd.concat(rows).sort_values("position")
-        for price in toggles["price"]:
-            active = not active
-            if active:
-                baseline = float(price)
-        self._state.update((bool(active), baseline))
-        yield pd.DataFrame([(*key, bool(active), baseline, int(toggles["position"].iloc[-1]))], columns=SUBSCRIPTION_TYPE.names)
+        flips, last = 0, []
+        for chunk in rows:
+            flips += int(chunk["flips"].sum())
+            ends = [*zip(chunk["position"], chunk["price"], strict=True), *((b, p) for b, p in zip(chunk["before"], chunk["price_before"], strict=True) if b >= 0)]
+            last = sorted(last + ends, key=lambda e: e[0])[-2:]
+        active = bool(active) != (flips % 2 == 1)
+        # switched on by the last toggle, or off by it and on by the one before
+        if active:
+            baseline = float(last[-1][1])
+        elif flips > 1:
+            baseline = float(last[-2][1])
+        self._state.update((active, baseline))
+        yield pd.DataFrame([(*key, active, baseline, int(last[-1][0]))], columns=SUBSCRIPTION_TYPE.names)
 
     def close(self) -> None:
         pass
@@ -189,9 +303,10 @@ class Subscription(StatefulProcessor):
 def stream_subscriptions(toggles: DataFrame) -> DataFrame:
     """Latest state per subscription after every micro-batch of toggles."""
     use_rocksdb(toggles.sparkSession)
-    valid = toggles.filter(finite(F.col("price")) & (F.col("price") >= 0))
-    return (valid.select(F.col("chat_id").cast("bigint"), "product_key", "price", F.col("position").cast("bigint"))
-            .groupBy("chat_id", "product_key").transformWithStateInPandas(Subscription(), SUBSCRIPTION_TYPE, "Update", "None"))
+    valid = toggles.filter(finite(F.col("price")) & (F.col("price") >= 0)).select(
+        F.col("chat_id").cast("bigint"), "product_key", F.col("price").cast("double"), F.col("position").cast("bigint"))
+    return valid.mapInPandas(combined_toggles, PART_TYPE).groupBy("chat_id", "product_key").transformWithStateInPandas(
+        Subscription(), SUBSCRIPTION_TYPE, "Update", "None")
 
 
 def latest_subscriptions(states: DataFrame) -> DataFrame:
