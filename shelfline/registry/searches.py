@@ -1,16 +1,18 @@
 """Catalog search, card ranking and entity resolution over the test tables."""
 
+import uuid
 from difflib import SequenceMatcher
 from itertools import product
 
 from pyspark.sql import functions as F
 
 from shelfline import bindings as b
-from shelfline.operators import filters, matching, search
+from shelfline.operators import filters, matching, search, search_index
 from shelfline.plans import compare_batch
 from shelfline.plans.import_feed import update_catalog
 from shelfline.registry.prices import OUTLIERS, PLAUSIBLE
 from shelfline.registry.titles import REASON, SAID
+from shelfline.session import shared_dir
 from shelfline.registry.base import Registry
 
 registry = Registry()
@@ -57,6 +59,17 @@ def _(spark, sf):
     return search.search_catalog(requests(spark, sf), products(spark, sf), b.view(spark, sf, "v_catalog_offers"))
 
 
+# the index is written for the cards alone, then extended by the stored offers
+@query("search_catalog_indexed", f"""
+WITH {VALUES} SELECT request_id, product_key, title, score FROM best JOIN v_products USING (product_key)""", CATALOG)
+def _(spark, sf):
+    root = f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}"
+    cards_, offers = products(spark, sf), b.view(spark, sf, "v_catalog_offers")
+    search_index.update_index(search.search_values(cards_, offers.limit(0)), root)
+    search_index.update_index(search.search_values(cards_, offers), root)
+    return search.search_indexed(requests(spark, sf), cards_, offers, root)
+
+
 @query("search_catalog_top", f"""
 WITH {VALUES} SELECT * FROM (SELECT request_id, product_key, title, score,
   row_number() OVER (PARTITION BY request_id ORDER BY score DESC, lower(title), product_key) AS place FROM best JOIN v_products USING (product_key))
