@@ -109,6 +109,8 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
+#: Parts that the fingerprints of one component are dealt to.
+DEALS = 32
 LINKS = "u long, v long"
 
 
@@ -169,9 +171,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = stored(distinct, "distinct-fingerprints")
     # signed comparison orders nodes; any order will do, the smallest id is looked up afterwards
     labelled = stored(components(fingerprint_links(distinct, radius)), "components")
-    named = distinct.join(labelled, distinct["fp"] == labelled["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_print = named.join(names, "component").select(F.col("fp").alias("of"), "component", "component_id")
+    linked = distinct.join(labelled, distinct["fp"] == labelled["node"]).select("fp", "least_id", "component")
+    names = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # a component may hold a large share of all fingerprints: it is dealt out, and its name goes to every deal
+    names = names.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = linked.withColumn("deal", F.pmod(F.xxhash64("fp"), F.lit(DEALS)).cast("int")).join(names, ["component", "deal"])
+    alone = distinct.join(labelled, distinct["fp"] == labelled["node"], "left_anti")
+    by_print = dealt.select(F.col("fp").alias("of"), "component", "component_id").unionByName(
+        alone.select(F.col("fp").alias("of"), F.col("fp").alias("component"), F.col("least_id").alias("component_id")))
     return printed.join(by_print, F.col("fp") == F.col("of")).select(
         "doc_id", "row_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
 
