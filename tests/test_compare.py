@@ -77,3 +77,28 @@ def test_search_by_identifier(spark):
     requests = spark.createDataFrame(list(asked.items()), "request_id string, query string")
     got = {r["request_id"]: (r["product_key"], r["score"]) for r in search.search_catalog(requests, products, offers, limit=1).collect()}
     assert got == {"1": ("pixel-8", 1000), "2": ("pixel-8", 1000), "3": ("oven", 950), "4": ("oven", 675), "6": ("oven", 700)}
+
+
+def test_scopes_judge_like_listed_pairs(spark, monkeypatch):
+    monkeypatch.setattr(compare, "SLICE", 2)
+    titles = [(1, t) for t in [WANTED, *list(REASONS)[:4], None]] + [(2, WANTED), (None, WANTED)]
+    rows = spark.createDataFrame(titles, "scope int, title string")
+    asked = rows.withColumnRenamed("title", "wanted_title")
+    listed = compare.judge_pairs(asked.filter("scope IS NOT NULL").join(rows, "scope"))
+    scoped = compare.judge_scopes(asked, rows, ["scope"])
+    found = [sorted(map(str, df.select("scope", "wanted_title", "title", "reason", "confirmed").collect())) for df in (listed, scoped)]
+    assert len(found[0]) == 6 * 6 + 1 and found[0] == found[1]
+
+
+def test_offers_stand_once_for_all_requests(spark):
+    requests = spark.createDataFrame([("a", WANTED), ("b", WANTED), ("c", "Samsung Galaxy S24 12GB/256GB Navy")], "request_id string, wanted_title string")
+    asked = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2)], "request_id string, brand int")
+    offers = spark.createDataFrame([(1, WANTED, "s1", "k2"), (1, WANTED, "s1", "k1"), (2, "Samsung Galaxy S24 12GB/256GB Navy", "s1", "k3"), (2, WANTED, "s2", "k4")],
+                                   "brand int, title string, source string, candidate_key string")
+    offers = offers.withColumns({"available": F.lit(True), "price": F.lit(9.0), "currency": F.lit("USD"), "rank": F.col("candidate_key")})
+    expanded = offers.join(asked, "brand")
+    fields = ["request_id", "source", "candidate_key"]
+    for operator in (compare.confirm_variant, compare.pick_reference_candidate):
+        once = operator(requests, offers, asked=asked).select(*fields).collect()
+        assert sorted(once) == sorted(operator(requests, expanded).select(*fields).collect())
+    assert sorted(map(tuple, once)) == [("a", "s1", "k1"), ("b", "s1", "k1"), ("b", "s2", "k4"), ("c", "s1", "k3")]
