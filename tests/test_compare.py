@@ -102,3 +102,15 @@ def test_offers_stand_once_for_all_requests(spark):
         once = operator(requests, offers, asked=asked).select(*fields).collect()
         assert sorted(once) == sorted(operator(requests, expanded).select(*fields).collect())
     assert sorted(map(tuple, once)) == [("a", "s1", "k1"), ("b", "s1", "k1"), ("b", "s2", "k4"), ("c", "s1", "k3")]
+
+
+def test_codes_and_variants_meet_in_scopes(spark, monkeypatch):
+    monkeypatch.setattr(compare, "SLICE", 1)
+    asked = spark.createDataFrame([(1, "Bosch HBA534EB3 64GB"), (1, "Bosch HBA534EB3 64GB Dual SIM"), (2, "LG OLED55C4RLA")], "scope int, wanted_title string")
+    shown = spark.createDataFrame([(1, "Oven HBA534EB3 64GB eSIM only"), (1, "Oven 128GB"), (2, "LG OLED55C4RLA"), (3, "LG")], "scope int, title string")
+    related = {(r["wanted_title"], r["title"]): (r["is_subset"], r["shared"]) for r in compare.code_relations(asked, shown, ["scope"]).collect()}
+    assert len(related) == 5 and related["LG OLED55C4RLA", "LG OLED55C4RLA"] == (True, ["oled55c4rla"])
+    assert related["Bosch HBA534EB3 64GB", "Oven 128GB"] == (False, [])
+    reasons = {(r["wanted_title"], r["title"]): r["reason"] for r in compare.variant_reasons(asked, shown, ["scope"]).collect()}
+    assert len(reasons) == 5 and reasons["Bosch HBA534EB3 64GB Dual SIM", "Oven HBA534EB3 64GB eSIM only"] == "sim"
+    assert reasons["Bosch HBA534EB3 64GB", "Oven 128GB"] == "memory" and reasons["LG OLED55C4RLA", "LG OLED55C4RLA"] is None
