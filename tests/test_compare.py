@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfline.functions import features
-from shelfline.operators import compare, search, variants
+from shelfline.operators import candidates, compare, search, variants
 
 WANTED = "Samsung Galaxy S25 12GB/256GB Navy"
 REASONS = {
@@ -114,3 +114,12 @@ def test_codes_and_variants_meet_in_scopes(spark, monkeypatch):
     reasons = {(r["wanted_title"], r["title"]): r["reason"] for r in compare.variant_reasons(asked, shown, ["scope"]).collect()}
     assert len(reasons) == 5 and reasons["Bosch HBA534EB3 64GB Dual SIM", "Oven HBA534EB3 64GB eSIM only"] == "sim"
     assert reasons["Bosch HBA534EB3 64GB", "Oven 128GB"] == "memory" and reasons["LG OLED55C4RLA", "LG OLED55C4RLA"] is None
+
+
+def test_only_matching_texts_leave_the_search_joins(spark):
+    values = spark.createDataFrame([(i, t, t.split(" ")) for i, t in enumerate(["case brand7 red ring", "case brand7 hot ring", "ring brand8 red case"])], "_id int, _t string, _words array<string>")
+    asked = spark.createDataFrame([("a", "brand7 red", ["brand7", "red"]), ("b", "case", ["case", "ring"]), ("c", "none", ["none"])], "request_id string, q string, words array<string>")
+    contained = candidates.containing_pairs(asked, "request_id", "q", values, "_id", "_t")
+    assert sorted(map(tuple, contained.collect())) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
+    having_words = candidates.token_pairs(asked, "request_id", "words", values, "_id", "_words")
+    assert sorted(map(tuple, having_words.collect())) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
