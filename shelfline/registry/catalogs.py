@@ -278,12 +278,20 @@ def _(spark, sf):
     return reviews.pending_reviews(products(spark, sf), stored(spark, sf))
 
 
-def review_decisions(spark, sf):
+def review_decisions(spark, sf, offers=None):
     """Small products are merged into their candidate, in order of their number."""
-    return b.from_sql(spark, sf, """
+    return spark.sql("""
         SELECT DISTINCT product_key, match_candidate_key AS candidate_key, CAST(external_id AS BIGINT) AS position
-        FROM {v_catalog_offers} JOIN {part} ON p_partkey = CAST(external_id AS BIGINT)
-        WHERE match_level = 'review' AND p_size < 25""")
+        FROM {offers} JOIN {part} ON p_partkey = CAST(external_id AS BIGINT)
+        WHERE match_level = 'review' AND p_size < 25""", offers=stored(spark, sf) if offers is None else offers, part=b.table(spark, sf, "part"))
+
+
+def kept_offers(spark, sf, *columns):
+    """The stored catalog's offers, worked out once and written compressed for the several steps that read them."""
+    path = f"{shared_dir(spark)}/offers-{uuid.uuid4().hex}"
+    offers = stored(spark, sf).select(*columns)
+    offers.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(offers.schema).parquet(path)
 
 
 DECISIONS = """decisions AS (SELECT DISTINCT product_key, match_candidate_key AS candidate_key
@@ -303,7 +311,9 @@ WITH {CHAIN} SELECT o.source_key, o.external_id, coalesce(target, o.product_key)
   coalesce(target, match_candidate_key) AS match_candidate_key
 FROM v_catalog_offers o LEFT JOIN target USING (product_key)""", CATALOG)
 def _(spark, sf):
-    _, offers = reviews.accept_reviews(products(spark, sf), stored(spark, sf), review_decisions(spark, sf))
+    kept = kept_offers(spark, sf, "source_key", "external_id", "product_key", "title", "position", "match_level", "match_reason", "match_candidate_key")
+    cards = spark.sql(b.VIEWS["v_catalog_products"], v_catalog_offers=kept)
+    _, offers = reviews.accept_reviews(cards, kept, review_decisions(spark, sf, kept))
     return offers.select("source_key", "external_id", "product_key", "match_level", "match_reason", "match_candidate_key")
 
 
