@@ -1,14 +1,18 @@
-"""Cross-entropy difference: matched target and background n-gram models over one shared vocabulary.
+"""Cross-entropy difference: matched target and background n-gram models over one shared, open vocabulary.
 
-Method. The vocabulary holds the `VOCABULARY` most frequent words of all documents; every other word becomes one of `CLASSES` classes
-by its hash, so both models see the same closed set of tokens and no word is unknown to only one of them. Bigrams (with a start token
-per document) are counted over all background documents (every document) and all target documents. Both models are interpolated with
-the same absolute discount and the same unigram floor. A document's score is the mean per token of its loss under the target model
-minus its loss under the background model: the lower, the closer to the target.
+Method. The vocabulary holds every word of all documents, so both models see the same set of words and none is unknown or shares its
+counts with another. Bigrams (with a start token per document) are counted over all background documents (every document) and all
+target documents. Both models are interpolated with the same absolute discount, weight and unigram floor. A document's score is the
+mean per token of its loss under the target model minus its loss under the background model: the lower, the closer to the target.
 
-Counts are combined inside each task before they are shuffled. The models are dense tables over pairs of tokens, (VOCABULARY + CLASSES
-+ 1) squared entries whatever the size of the corpus (about 19 MB each), and are sent to the workers. Texts are cut into
-tokens once, written as two bytes each, and both the counts and the scores read these.
+Words are numbered by frequency. The numbers only decide which way a word or bigram takes, never the result:
+
+* Bigrams of two `FREQUENT` words (or the start token) fall into a dense table of fixed size: counted within each task, collected,
+  and sent to the workers as losses (about 17 MB a model).
+* Every other bigram is dealt, with its document, to the place of its rarest part, counted there over all documents, and its losses
+  are summed per document. A bigram with a word that is not frequent occurs in at most one of `FREQUENT` words of the corpus, so no place is hot.
+* Totals of the `KNOWN` most frequent words are a table of bounded size that is broadcast; those of the other words, named by 63 bits
+  of a hash, are joined, as contexts, or counted at their place, as second words.
 
 Defined results: null and empty texts have no tokens, null losses and a null score; repeated rows are counted and scored each; without
 target documents the target model is the uniform one; an empty table gives an empty result; null ids are never target documents;
@@ -17,19 +21,30 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.llm.common import stored
 
-VOCABULARY, CLASSES = 2_048, 128
+#: Words numbered for all tasks; further words go by their hash.
+KNOWN = 1 << 17
+#: Words whose bigrams with one another are counted in a dense table.
+FREQUENT = 2_048
+#: Numbers after those of the known words: the start token, and the sign that a token's hash stands in `others`.
+START, OTHER = KNOWN, KNOWN + 1
+#: Added to a known second word, to tell it from a first one.
+SECOND = 1 << 20
+MODELS = ("background", "target")
 DISCOUNT = 0.75
 UNIGRAM_FLOOR = 0.5
+#: Occurrences that a second word's own share counts for after every first word. Rare first words have bigrams of their own, no class to
+#: share them with: without this, a document's own bigrams after them would make up most of its loss under the background model.
+CONTEXT_PRIOR = 20
 #: Different words or bigrams that a task gathers before it passes them on.
 GATHERED = 1 << 19
 
@@ -59,107 +74,233 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary_of(docs: DataFrame) -> dict[str, int]:
-    """The most frequent words, numbered; ties by the word. Collected: VOCABULARY rows at most."""
-    counts = stored(word_counts(docs), "words")
+def vocabulary_of(counts: DataFrame, known: int) -> dict[str, int]:
+    """The most frequent words of word_counts, numbered; ties by the word. Collected: known rows at most, and no more than KNOWN."""
+    known = min(known, KNOWN)
     least, reached = None, 0
-    for level in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(VOCABULARY).collect():
+    for level in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(known).collect():
         least, reached = level.n, reached + level.words
-        if reached >= VOCABULARY:
+        if reached >= known:
             break
     if least is None:
         return {}
-    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return {row.word: i for i, row in enumerate(top)}
-
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(known).toArrow()["word"].to_pylist()
+    return {word: i for i, word in enumerate(top)}
 
-SIZE = VOCABULARY + CLASSES + 1
-START = SIZE - 1
 
-
-def token_ids(text: str, vocabulary: dict[str, int]) -> np.ndarray:
-    """Start token, then one token per word."""
-    words = words_of_text(text)
-    found = [vocabulary.get(w, -1) for w in words]
-    ids = np.fromiter((VOCABULARY + zlib.crc32(w.encode()) % CLASSES if i < 0 else i for w, i in zip(words, found, strict=True)), np.int64, len(found))
-    return np.concatenate(([START], ids))
+def other_id(word: str) -> int:
+    """Negative number of a word that is not known."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) | -(1 << 63)
 
 
 def tokenised(docs: DataFrame, vocabulary) -> DataFrame:
-    """doc_id and tokens: the token numbers, start token first, as unsigned 16-bit integers."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tokens", T.BinaryType())])
+    """doc_id, tokens (numbers of the words as unsigned 32-bit integers) and others (signed 64-bit numbers of the words that are OTHER, in order)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tokens", T.BinaryType()), T.StructField("others", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [token_ids(text or "", vocabulary.value).astype("<u2").tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=schema.names)
+            tokens, others = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of_text(text or "")
+                found = [vocabulary.value.get(w, OTHER) for w in words]
+                tokens.append(np.array(found, "<u4").tobytes())
+                others.append(np.array([other_id(w) for w, i in zip(words, found, strict=True) if i == OTHER], "<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(others, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def bigram_counts(flagged: DataFrame) -> DataFrame:
-    """pair (previous token * SIZE + token), background and target: counts over all documents and over those with is_target."""
+def ids_of(tokens: bytes, others: bytes) -> np.ndarray:
+    """Start token, then one number per word."""
+    ids = np.concatenate(([START], np.frombuffer(tokens, "<u4").astype(np.int64)))
+    ids[ids == OTHER] = np.frombuffer(others, "<i8")
+    return ids
+
+
+def dense_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the dense table of every bigram of a document, and which bigrams have one."""
+    first, second = ids[:-1], ids[1:]
+    starts = first == START
+    held = (starts | (first >= 0) & (first < FREQUENT)) & (second >= 0) & (second < FREQUENT)
+    return np.where(starts, FREQUENT, first) * FREQUENT + second, held
+
+
+def frequent_counts(rows: DataFrame) -> DataFrame:
+    """pair (place in the dense table), background and target: counts over all documents and over those with is_target."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, (FREQUENT + 1) * FREQUENT), np.int64)
         for batch in batches:
-            pairs: list[list[np.ndarray]] = [[], []]
-            for tokens, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(tokens, "<u2").astype(np.int32)
-                found = ids[:-1] * SIZE + ids[1:]
-                pairs[0].append(found)
+            for tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, held = dense_places(ids_of(tokens, others))
+                pair, n = np.unique(place[held], return_counts=True)
+                table[0][pair] += n
                 if target:
-                    pairs[1].append(found)
-            none = np.zeros(0, np.int32)
-            pair, n = np.unique(np.concatenate([none, *pairs[0]]), return_counts=True)
-            target_pair, target_n = np.unique(np.concatenate([none, *pairs[1]]), return_counts=True)
-            both = np.zeros(len(pair), np.int64)
-            both[np.searchsorted(pair, target_pair)] = target_n
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n), pa.array(both)], names=["pair", "background", "target"])
-
-    counted = flagged.select("tokens", "is_target").mapInArrow(count, "pair int, background long, target long")
+                    table[1][pair] += n
+        pair = np.flatnonzero(table[0])
+        for start in range(0, len(pair), GATHERED):
+            at = pair[start:start + GATHERED]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[0][at]), pa.array(table[1][at])],
+                                             names=["pair", "background", "target"])
+
+    counted = rows.select("tokens", "others", "is_target").mapInArrow(count, "pair int, background long, target long")
     return counted.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def losses(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-log P(token | previous) for all pairs: bigrams with absolute discount, interpolated with smoothed unigrams."""
-    table = np.zeros((SIZE, SIZE), np.float32)
-    table.flat[pair] = n
-    unigrams = table.sum(axis=0, dtype=np.float64) + UNIGRAM_FLOOR
-    unigrams /= unigrams.sum()
-    total = table.sum(axis=1, dtype=np.float64)
-    kinds = np.count_nonzero(table, axis=1)
-    free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-    np.maximum(table - DISCOUNT, 0, out=table)
-    table /= np.maximum(total, 1)[:, None].astype(np.float32)
-    table += (free[:, None] * unigrams).astype(np.float32)
-    return -np.log(table, out=table)
+def dealt_bigrams(rows: DataFrame) -> DataFrame:
+    """One row per bigram outside the dense table: row, is_target, place and other.
+
+    place is the second word where that is not known, else the first where that is not known, else the number of the pair; other is
+    the remaining word (0 for a pair, a known second word with SECOND added).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gathered: list[tuple] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                row, target, place, other = (np.concatenate(c) for c in zip(*gathered, strict=True))
+                gathered.clear()
+                return pa.RecordBatch.from_arrays([pa.array(row), pa.array(target), pa.array(place), pa.array(other)], names=["row", "is_target", "place", "other"])
+
+            for row, tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = ids_of(tokens, others)
+                rest = ~dense_places(ids)[1]
+                first, second = ids[:-1][rest], ids[1:][rest]
+                place = np.where(second < 0, second, np.where(first < 0, first, first * SECOND + second))
+                other = np.where(second < 0, first, np.where(first < 0, second + SECOND, 0))
+                gathered.append((np.full(len(place), row), np.full(len(place), target), place, other))
+                size += len(place)
+                if size > GATHERED:
+                    yield flush()
+                    size = 0
+            if gathered:
+                yield flush()
+
+    return rows.select("row", "tokens", "others", "is_target").mapInArrow(run, "row long, is_target boolean, place long, other long")
+
+
+def counted_bigrams(dealt: DataFrame) -> DataFrame:
+    """dealt_bigrams as row, first and second with the bigram's counts over all and over target documents, leads (one row of each bigram)
+    and, for a second word that is not known, its own counts (null otherwise)."""
+    pair, place = Window.partitionBy("place", "other"), Window.partitionBy("place")
+    is_second = (F.col("place") < 0) & (F.col("other") < SECOND)
+    target = F.col("is_target").cast("long")
+    counted = dealt.repartition("place").select(
+        "*", F.count("*").over(pair).alias("background"), F.sum(target).over(pair).alias("target"),
+        F.lag("other").over(place.orderBy("other")).alias("before"),
+        F.sum(is_second.cast("long")).over(place).alias("word_background"), F.sum(F.when(is_second, target)).over(place).alias("word_target"))
+    first = F.when(F.col("place") >= 0, F.shiftright("place", 20)).when(is_second, F.col("other")).otherwise(F.col("place"))
+    second = F.when(F.col("place") >= 0, F.col("place").bitwiseAND(SECOND - 1)).when(is_second, F.col("place")).otherwise(F.col("other") - SECOND)
+    return counted.select("row", first.alias("first"), second.alias("second"), "background", "target", (~F.col("other").eqNullSafe(F.col("before"))).alias("leads"),
+                          *[F.when(is_second, F.col(f"word_{m}")).alias(f"word_{m}") for m in MODELS])
+
+
+def contexts_of(counted: DataFrame) -> DataFrame:
+    """first, and per model its followers outside the dense table: n (occurrences) and kinds (different ones)."""
+    leads = counted.filter("leads")
+    return leads.groupBy("first").agg(*[agg.alias(f"{name}_{m}") for m in MODELS for name, agg in (
+        ("n", F.sum(m)), ("kinds", F.sum((F.col(m) > 0).cast("long"))))])
+
+
+def known_words(counted: DataFrame) -> DataFrame:
+    """second, and per model its occurrences outside the dense table, for known words."""
+    return counted.filter("leads AND second >= 0").groupBy("second").agg(*[F.sum(m).alias(f"word_{m}") for m in MODELS])
+
+
+def bigram_loss(count: Column, total: Column, kinds: Column, word: Column) -> Column:
+    """-log P(second | first): absolute discount, interpolated with the second word's smoothed share; a context never seen leaves that alone."""
+    return -F.log((F.greatest(count - DISCOUNT, F.lit(0.0)) + (DISCOUNT * kinds + CONTEXT_PRIOR) * word) / (total + CONTEXT_PRIOR))
+
+
+class Totals:
+    """What a model holds outside its bigrams: documents' words and different words."""
+
+    def __init__(self, words: int, different: int):
+        self.whole = words + UNIGRAM_FLOOR * different
+
+    def share(self, occurrences):
+        """Smoothed share of a word, for numbers, arrays and columns."""
+        return (occurrences + UNIGRAM_FLOOR) / (self.whole or 1.0)
+
+
+def dense_losses(table: np.ndarray, n: np.ndarray, kinds: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """bigram_loss of all places of the dense table; n and kinds per first word, word (a share) per second one, all over the whole vocabulary."""
+    out = (np.maximum(table - DISCOUNT, 0) + (DISCOUNT * kinds + CONTEXT_PRIOR)[:, None] * word) / (n + CONTEXT_PRIOR)[:, None]
+    return -np.log(out, out=out).astype(np.float32).ravel()
+
+
+def by_number(rows: pa.Table, key: str, value: str, size: int) -> np.ndarray:
+    """Values by the key's place in the dense table; 0 where there is none."""
+    at = rows[key].to_numpy()
+    out = np.zeros(size, np.int64)
+    out[np.where(at == START, FREQUENT, at)] = rows[value].to_numpy()
+    return out
+
+
+def added(rows: DataFrame, key: str, columns: dict[str, np.ndarray]) -> DataFrame:
+    """rows with the dense table's figures added; the last of these is the start token's, if there are FREQUENT + 1."""
+    size = len(next(iter(columns.values())))
+    numbers = np.arange(size)
+    numbers[numbers == FREQUENT] = START
+    dense = rows.sparkSession.createDataFrame(pa.table({key: numbers} | columns), rows.schema)
+    return rows.unionByName(dense).groupBy(key).agg(*[F.sum(c).alias(c) for c in columns])
+
 
+def score_documents(docs: DataFrame, targets: DataFrame, known_words_at_most: int = KNOWN) -> DataFrame:
+    """docs scored against the documents whose ids are in targets (doc_id): doc_id, n_tokens, target_loss, background_loss, score.
 
-def score_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs scored against the documents whose ids are in targets (doc_id): doc_id, n_tokens, target_loss, background_loss, score."""
+    known_words_at_most sets how many words are numbered; the scores are the same whatever it is."""
     context = docs.sparkSession.sparkContext
-    vocabulary = context.broadcast(vocabulary_of(docs))
+    words = stored(word_counts(docs), "words")
+    vocabulary = context.broadcast(vocabulary_of(words, known_words_at_most))
     wanted = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
-    rows = stored(tokenised(docs, vocabulary), "tokens")
     # labels grow with the corpus: joined the same way at every size, never broadcast
-    flagged = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select(
-        "tokens", F.col("target_id").isNotNull().alias("is_target"))
-    counts = bigram_counts(flagged).toArrow()  # SIZE squared rows at most
-    pair = counts["pair"].to_numpy()
-    models = context.broadcast([losses(pair, counts[name].to_numpy()) for name in ("target", "background")])
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
-                           *[T.StructField(name, T.DoubleType()) for name in ("target_loss", "background_loss", "score")]])
+    rows = stored(tokenised(docs, vocabulary).join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("target_id").isNotNull().alias("is_target"),
+        (F.length("tokens") / 4).cast("long").alias("n_tokens"), "tokens", "others"), "tokens")
+    sums = rows.agg(F.sum("n_tokens").alias("background"), F.sum(F.when(F.col("is_target"), F.col("n_tokens"))).alias("target")).first()
+    different = words.count()
+    totals = {m: Totals(sums[m] or 0, different) for m in MODELS}
+
+    frequent = frequent_counts(rows).toArrow()  # (FREQUENT + 1) * FREQUENT rows at most
+    tables = {m: np.zeros((FREQUENT + 1, FREQUENT)) for m in MODELS}
+    for m in MODELS:
+        tables[m].flat[frequent["pair"].to_numpy()] = frequent[m].to_numpy()
+    counted = stored(counted_bigrams(dealt_bigrams(rows)), "bigrams")
+    contexts = stored(added(contexts_of(counted), "first", {k: v for m in MODELS for k, v in (
+        (f"n_{m}", tables[m].sum(axis=1).astype(np.int64)), (f"kinds_{m}", np.count_nonzero(tables[m], axis=1)))}), "contexts")
+    known = stored(added(known_words(counted), "second", {f"word_{m}": tables[m].sum(axis=0).astype(np.int64) for m in MODELS}), "known")
+
+    first = contexts.filter((F.col("first").between(0, FREQUENT - 1)) | (F.col("first") == START)).toArrow()
+    second = known.filter(F.col("second") < FREQUENT).toArrow()
+    models = context.broadcast([dense_losses(
+        tables[m], by_number(first, "first", f"n_{m}", FREQUENT + 1), by_number(first, "first", f"kinds_{m}", FREQUENT + 1),
+        totals[m].share(by_number(second, "second", f"word_{m}", FREQUENT))) for m in MODELS])
+    schema = "row long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_tokens long, dense_background double, dense_target double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = models.value
         for batch in batches:
-            sizes, means = [], []
-            for tokens in batch.column(1).to_pylist():
-                ids = np.frombuffer(tokens, "<u2")
-                sizes.append(len(ids) - 1)
-                at = ids[:-1], ids[1:]
-                means.append([float(m[at].mean(dtype=np.float64)) for m in (target, background)] if len(ids) > 1 else [None, None])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array([m[0] for m in means], pa.float64()), pa.array([m[1] for m in means], pa.float64()),
-                       pa.array([None if m[0] is None else m[0] - m[1] for m in means], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+            lost: list[list[float]] = [[], []]
+            for tokens, others in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                place, held = dense_places(ids_of(tokens, others))
+                at = place[held]
+                for found, model in zip(lost, models.value, strict=True):
+                    found.append(float(model[at].sum(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(found, pa.float64()) for found in lost]],
+                                             names=["row", "doc_id", "n_tokens", "dense_background", "dense_target"])
+
+    dense = rows.select("row", "doc_id", "n_tokens", "tokens", "others").mapInArrow(run, schema)
+    rest = rest_losses(counted, contexts, known, totals)
+    loss = {m: (F.col(f"dense_{m}") + F.coalesce(f"rest_{m}", F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens")) for m in MODELS}
+    return dense.join(rest, "row", "left").select("doc_id", "n_tokens", loss["target"].alias("target_loss"), loss["background"].alias("background_loss"),
+                                                  (loss["target"] - loss["background"]).alias("score"))
+
+
+def rest_losses(counted: DataFrame, contexts: DataFrame, known: DataFrame, totals: dict[str, Totals]) -> DataFrame:
+    """row and per model the summed losses of its bigrams outside the dense table."""
+    given = known.select("second", *[F.col(f"word_{m}").alias(f"known_{m}") for m in MODELS])
+    parts = [counted.filter("first >= 0").join(F.broadcast(contexts.filter("first >= 0")), "first"),  # KNOWN + 1 rows at most
+             counted.filter("first < 0").join(contexts.filter("first < 0").hint("merge"), "first")]
+    both = parts[0].unionByName(parts[1]).join(F.broadcast(given), "second", "left")
+    return both.groupBy("row").agg(*[F.sum(bigram_loss(F.col(m), F.col(f"n_{m}"), F.col(f"kinds_{m}"),
+                                                       totals[m].share(F.coalesce(f"word_{m}", f"known_{m}")))).alias(f"rest_{m}") for m in MODELS])

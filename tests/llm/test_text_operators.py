@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -15,7 +16,7 @@ import tiktoken
 import xxhash
 
 from shelfline.llm.bpe import encode_documents, encoder_for
-from shelfline.llm.lm_scoring import score_documents
+from shelfline.llm.lm_scoring import score_documents, words_of_text
 from shelfline.llm.quality import judge_quality
 from shelfline.llm.simhash import covering_masks, forest, near_duplicates, without_near_duplicates
 from shelfline.llm.token_counts import count_pieces, pre_tokens, processor_for, token_counts
@@ -248,6 +249,42 @@ def test_scores(spark):
     assert len(score_documents(docs, empty).collect()) == len(scored)
 
 
+@pytest.mark.parametrize("known", [0, 3, 2_100, 1 << 20])
+def test_losses_are_those_of_models_of_every_word(spark, known):
+    """More words than any dense table holds; each must keep counts of its own, whichever way it takes."""
+    rng = random.Random(4)
+    lines = [" ".join(f"w{int(rng.paretovariate(0.45)) % 6_000}" for _ in range(rng.randrange(1, 240))) for _ in range(600)] + ["W1 w1, lone", "w1 w1 lone", "", ". w2"]
+    rows = [(i, t) for i, t in enumerate(lines)] + [(7, lines[7]), (7, "another text"), (None, lines[8]), (None, None), (900, None)]
+    targets = set(range(0, 604, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [words_of_text(t or "") for _, t in rows]
+    assert len({w for found in words for w in found}) > 2_500
+
+    def model(texts):
+        pairs = Counter(p for found in texts for p in zip([None, *found], found, strict=False))
+        totals, kinds, own = Counter(), Counter(v for v, _ in pairs), Counter()
+        for (v, w), n in pairs.items():
+            totals[v] += n
+            own[w] += n
+        whole = sum(own.values()) + 0.5 * len({w for found in words for w in found})
+
+        def loss(found):
+            shares = [(own[w] + 0.5) / whole for w in found]
+            terms = [(max(pairs[v, w] - 0.75, 0) + (0.75 * kinds[v] + 20) * share) / (totals[v] + 20)
+                     for v, w, share in zip([None, *found], found, shares, strict=False)]
+            return -sum(map(math.log, terms)) / len(terms) if terms else None
+
+        return loss
+
+    target, background = model([found for (i, _), found in zip(rows, words, strict=True) if i in targets]), model(words)
+    order = lambda row: tuple((v is not None, v) for v in row)
+    want = sorted([(i, len(found), target(found), background(found)) for (i, _), found in zip(rows, words, strict=True)], key=order)
+    got = sorted([(r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in score_documents(
+        docs, spark.createDataFrame([(i,) for i in targets], "doc_id long"), known).collect()], key=order)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2:] == (pytest.approx(b[2:], abs=1e-5) if b[1] else (None, None))
+
+
 def test_scores_tell_held_out_documents_apart(spark):
     """Half of the good documents train the target model; the other half must score below the bad ones."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
