@@ -9,10 +9,11 @@ Words are numbered by frequency. The numbers only decide which way a word or big
 
 * Bigrams of two `FREQUENT` words (or the start token) fall into a dense table of fixed size: counted within each task, collected,
   and sent to the workers as losses (about 17 MB a model).
-* Every other bigram is dealt, with its document, to the place of its rarest part, counted there over all documents, and its losses
-  are summed per document. A bigram with a word that is not frequent occurs in at most one of `FREQUENT` words of the corpus, so no place is hot.
-* Totals of the `KNOWN` most frequent words are a table of bounded size that is broadcast; those of the other words, named by 63 bits
-  of a hash, are joined, as contexts, or counted at their place, as second words.
+* Every other bigram is dealt, with its document, to the bucket of its rarest part and counted there over all documents. Buckets grow in
+  number with the corpus. A word that is not frequent is at most one of `FREQUENT` words of the corpus, so no bucket is hot.
+* Totals of the `KNOWN` most frequent words are a table of bounded size, summed by task, collected and sent to the workers. Those of
+  the other words, named by 63 bits of a hash, are complete in the word's own bucket; only bigrams of two such words are joined to
+  the totals of the first one.
 
 Defined results: null and empty texts have no tokens, null losses and a null score; repeated rows are counted and scored each; without
 target documents the target model is the uniform one; an empty table gives an empty result; null ids are never target documents;
@@ -27,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfline.llm.common import stored
 
@@ -47,6 +48,12 @@ UNIGRAM_FLOOR = 0.5
 CONTEXT_PRIOR = 20
 #: Different words or bigrams that a task gathers before it passes them on.
 GATHERED = 1 << 19
+#: Words of the corpus per bucket of bigrams, about.
+BUCKET = 1 << 21
+#: Rows of one part of the table of tokens are numbered from the same multiple of 2 to this power.
+PART = 33
+#: Documents whose losses are summed together: 2 to this power.
+TOGETHER = 13
 
 
 def words_of_text(text: str) -> list[str]:
@@ -93,26 +100,39 @@ def other_id(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) | -(1 << 63)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, byte by byte of equal weight."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: str = "<i8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def tokenised(docs: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, tokens (numbers of the words as unsigned 32-bit integers) and others (signed 64-bit numbers of the words that are OTHER, in order)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tokens", T.BinaryType()), T.StructField("others", T.BinaryType())])
+    """doc_id, n_tokens, tokens (packed numbers of the words) and others (signed 64-bit numbers of the words that are OTHER, in order)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("tokens", T.BinaryType()), T.StructField("others", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, others = [], []
+            sizes, tokens, others = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of_text(text or "")
                 found = [vocabulary.value.get(w, OTHER) for w in words]
-                tokens.append(np.array(found, "<u4").tobytes())
+                sizes.append(len(words))
+                tokens.append(packed(np.array(found, "<u4")))
                 others.append(np.array([other_id(w) for w, i in zip(words, found, strict=True) if i == OTHER], "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(others, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(others, pa.binary())],
+                                             names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def ids_of(tokens: bytes, others: bytes) -> np.ndarray:
+def ids_of(n_tokens: int, tokens: bytes, others: bytes) -> np.ndarray:
     """Start token, then one number per word."""
-    ids = np.concatenate(([START], np.frombuffer(tokens, "<u4").astype(np.int64)))
+    ids = np.concatenate(([START], unpacked(tokens, n_tokens, "<u4").astype(np.int64)))
     ids[ids == OTHER] = np.frombuffer(others, "<i8")
     return ids
 
@@ -130,8 +150,8 @@ def frequent_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, (FREQUENT + 1) * FREQUENT), np.int64)
         for batch in batches:
-            for tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, held = dense_places(ids_of(tokens, others))
+            for n_tokens, tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, held = dense_places(ids_of(n_tokens, tokens, others))
                 pair, n = np.unique(place[held], return_counts=True)
                 table[0][pair] += n
                 if target:
@@ -142,74 +162,160 @@ def frequent_counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[0][at]), pa.array(table[1][at])],
                                              names=["pair", "background", "target"])
 
-    counted = rows.select("tokens", "others", "is_target").mapInArrow(count, "pair int, background long, target long")
+    counted = rows.select("n_tokens", "tokens", "others", "is_target").mapInArrow(count, "pair int, background long, target long")
     return counted.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def dealt_bigrams(rows: DataFrame) -> DataFrame:
-    """One row per bigram outside the dense table: row, is_target, place and other.
+def dealt_bigrams(rows: DataFrame, buckets: int) -> DataFrame:
+    """The bigrams outside the dense table, by bucket and gathered documents: base, n, and packed place, other and mark.
 
     place is the second word where that is not known, else the first where that is not known, else the number of the pair; other is
-    the remaining word (0 for a pair, a known second word with SECOND added).
+    the remaining word (0 for a pair, a known second word with SECOND added). A bigram of two words that are not known also goes to the
+    first one's place, as a witness for that word's totals. mark holds the document's row less base, then a bit for witnesses, then one for targets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gathered: list[tuple] = []
-            size = 0
+        gathered: list[tuple] = []
+        base = size = 0
 
-            def flush() -> pa.RecordBatch:
-                row, target, place, other = (np.concatenate(c) for c in zip(*gathered, strict=True))
-                gathered.clear()
-                return pa.RecordBatch.from_arrays([pa.array(row), pa.array(target), pa.array(place), pa.array(other)], names=["row", "is_target", "place", "other"])
+        def flush() -> pa.RecordBatch:
+            place, other, mark = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            gathered.clear()
+            bucket = ((place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+            order = np.lexsort((place, bucket))
+            bucket, place, other, mark = (c[order] for c in (bucket, place, other, mark))
+            found, start = np.unique(bucket, return_index=True)
+            parts = [slice(i, j) for i, j in zip(start, [*start[1:], len(bucket)], strict=True)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(found.astype(np.int64)), pa.array(np.full(len(found), base, np.int64)), pa.array([p.stop - p.start for p in parts], pa.int64()),
+                # places are in order: their differences are smaller
+                pa.array([packed(np.diff(place[p], prepend=0)) for p in parts], pa.binary()),
+                pa.array([packed(other[p]) for p in parts], pa.binary()), pa.array([packed(mark[p]) for p in parts], pa.binary())],
+                names=["bucket", "base", "n", "place", "other", "mark"])
 
-            for row, tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = ids_of(tokens, others)
+        for batch in batches:
+            for row, n_tokens, tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gathered and (size > GATHERED or row < base or row >> PART != base >> PART):
+                    yield flush()
+                    size = 0
+                if not gathered:
+                    base = row
+                ids = ids_of(n_tokens, tokens, others)
                 rest = ~dense_places(ids)[1]
                 first, second = ids[:-1][rest], ids[1:][rest]
+                mark = np.full(len(first), (row - base) * 4 + target, np.int64)
                 place = np.where(second < 0, second, np.where(first < 0, first, first * SECOND + second))
                 other = np.where(second < 0, first, np.where(first < 0, second + SECOND, 0))
-                gathered.append((np.full(len(place), row), np.full(len(place), target), place, other))
+                gathered.append((place, other, mark))
+                both = (first < 0) & (second < 0)
+                gathered.append((first[both], second[both], mark[both] + 2))
                 size += len(place)
-                if size > GATHERED:
-                    yield flush()
-                    size = 0
-            if gathered:
-                yield flush()
-
-    return rows.select("row", "tokens", "others", "is_target").mapInArrow(run, "row long, is_target boolean, place long, other long")
-
-
-def counted_bigrams(dealt: DataFrame) -> DataFrame:
-    """dealt_bigrams as row, first and second with the bigram's counts over all and over target documents, leads (one row of each bigram)
-    and, for a second word that is not known, its own counts (null otherwise)."""
-    pair, place = Window.partitionBy("place", "other"), Window.partitionBy("place")
-    is_second = (F.col("place") < 0) & (F.col("other") < SECOND)
-    target = F.col("is_target").cast("long")
-    counted = dealt.repartition("place").select(
-        "*", F.count("*").over(pair).alias("background"), F.sum(target).over(pair).alias("target"),
-        F.lag("other").over(place.orderBy("other")).alias("before"),
-        F.sum(is_second.cast("long")).over(place).alias("word_background"), F.sum(F.when(is_second, target)).over(place).alias("word_target"))
-    first = F.when(F.col("place") >= 0, F.shiftright("place", 20)).when(is_second, F.col("other")).otherwise(F.col("place"))
-    second = F.when(F.col("place") >= 0, F.col("place").bitwiseAND(SECOND - 1)).when(is_second, F.col("place")).otherwise(F.col("other") - SECOND)
-    return counted.select("row", first.alias("first"), second.alias("second"), "background", "target", (~F.col("other").eqNullSafe(F.col("before"))).alias("leads"),
-                          *[F.when(is_second, F.col(f"word_{m}")).alias(f"word_{m}") for m in MODELS])
-
+        if size:
+            yield flush()
+
+    return rows.select("row", "n_tokens", "tokens", "others", "is_target").mapInArrow(
+        run, "bucket long, base long, n long, place binary, other binary, mark binary")
+
+
+#: Of a bigram: its counts, and the totals that are complete in its bucket: for a second word that is not known its occurrences, for a
+#: first one those and the different words that follow; both over all and over target documents.
+COUNTS = ("background", "target")
+TOTALS = ("word_background", "word_target", "n_background", "n_target", "kinds_background", "kinds_target")
+#: Rows of counted_bigrams: many bigrams packed into one; an occurrence of a bigram of two words that are not known; a first word of such bigrams.
+MANY, ONE, FIRST = 0, 1, 2
+NUMBERS = ("row", "first", *COUNTS, *TOTALS)
+COUNTED = f"kind int, pairs long, size long, {', '.join(f'{c} binary' for c in ('firsts', 'seconds', 'counts', 'totals', 'rows'))}, " + ", ".join(f"{c} long" for c in NUMBERS)
+
+
+def sums_of(group: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(group, weight, size).astype(np.int64)
+
+
+def count_bucket(table: pa.Table) -> pa.Table:
+    """All bigrams of a bucket with their counts and the totals of words that are not known."""
+    parts: list[tuple] = []
+    for base, n, place, other, mark in zip(*(table[c].to_pylist() for c in ("base", "n", "place", "other", "mark")), strict=True):
+        marks = unpacked(mark, n)
+        parts.append((np.cumsum(unpacked(place, n)), unpacked(other, n), marks & 3, (marks >> 2) + base))
+    place, other, bits, row = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((row, bits >> 1, other, place))
+    place, other, bits, row = (c[order] for c in (place, other, bits, row))
+    witness, target = bits >> 1, bits & 1
+    starts = np.ones(len(place), bool)
+    starts[1:] = (place[1:] != place[:-1]) | (other[1:] != other[:-1]) | (witness[1:] != witness[:-1])
+    at = np.flatnonzero(starts)
+    pair_place, pair_other, pair_witness = place[at], other[at], witness[at].astype(bool)
+    count = {"background": np.diff(np.append(at, len(place))), "target": np.add.reduceat(target, at)}
+    unknown = pair_place < 0
+    is_second = unknown & ~pair_witness & (pair_other < SECOND)
+    is_first = unknown & ~is_second
+    group = np.cumsum(np.append(True, pair_place[1:] != pair_place[:-1])) - 1
+    size = group[-1] + 1
+    total = {}
+    for m in MODELS:
+        total[f"word_{m}"] = np.where(is_second, sums_of(group, count[m] * is_second, size)[group], 0)
+        total[f"n_{m}"] = np.where(is_first, sums_of(group, count[m] * is_first, size)[group], 0)
+        total[f"kinds_{m}"] = np.where(is_first, sums_of(group, (count[m] > 0) & is_first, size)[group], 0)
+
+    first = np.where(unknown, np.where(is_second, pair_other, -1), pair_place >> 20)
+    second = np.where(unknown, np.where(is_second, -1, pair_other - SECOND), pair_place & (SECOND - 1))
+    single = is_second & (pair_other < 0)
+    many = ~pair_witness & ~single
+    occurs = np.repeat(np.arange(len(at)), count["background"])
+    batches = [rows_of(MANY, 1, {
+        "pairs": [int(many.sum())], "size": [int(many[occurs].sum())], "firsts": [packed(first[many])], "seconds": [packed(second[many])],
+        "counts": [packed(np.concatenate([count[m][many] for m in COUNTS]))], "totals": [packed(np.concatenate([total[c][many] for c in TOTALS]))],
+        "rows": [packed(row[many[occurs]])]})]
+    alone = single[occurs]
+    batches.append(rows_of(ONE, int(alone.sum()), {"row": row[alone], "first": pair_other[occurs[alone]]} | {
+        c: v[occurs[alone]] for c, v in (count | total).items()}))
+    seen = np.flatnonzero(pair_witness)
+    seen = seen[np.append(True, np.diff(pair_place[seen]) != 0)[:len(seen)]]
+    batches.append(rows_of(FIRST, len(seen), {"first": pair_place[seen]} | {c: v[seen] for c, v in total.items()}))
+    return pa.concat_tables(batches)
+
+
+def rows_of(kind: int, n: int, columns: dict) -> pa.Table:
+    """Rows of counted_bigrams; what is not given is null."""
+    types = {"kind": pa.int32()} | {c: pa.binary() for c in ("firsts", "seconds", "counts", "totals", "rows")}
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    columns = {"kind": np.full(n, kind, np.int32)} | columns
+    return pa.table({c: pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(n, types.get(c, pa.int64())) for c in names})
+
+
+def unpack_many(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """firsts, seconds, counts and totals by name (one per bigram) and rows (one per occurrence) of each MANY row; -1 for a word that is not known."""
+    for pairs, size, firsts, seconds, counts, totals, rows in zip(
+            *(batch[c].to_pylist() for c in ("pairs", "size", "firsts", "seconds", "counts", "totals", "rows")), strict=True):
+        yield (unpacked(firsts, pairs), unpacked(seconds, pairs), dict(zip(COUNTS, unpacked(counts, 2 * pairs).reshape(2, -1), strict=True)),
+               dict(zip(TOTALS, unpacked(totals, 6 * pairs).reshape(6, -1), strict=True)), unpacked(rows, size))
+
+
+def known_totals(counted: DataFrame) -> DataFrame:
+    """id and TOTALS of the known words (and START) outside the dense table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros(KNOWN + 1, np.int64) for c in TOTALS}
+        for batch in batches:
+            for first, second, count, *_ in unpack_many(batch):
+                for m in MODELS:
+                    for name, ids, weight in (("n", first, count[m]), ("kinds", first, count[m] > 0), ("word", second, count[m])):
+                        sums[f"{name}_{m}"] += sums_of(ids[ids >= 0], weight[ids >= 0], KNOWN + 1)
+        at = np.flatnonzero(sums["n_background"] + sums["word_background"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(sums[c][at]) for c in TOTALS]], names=["id", *TOTALS])
 
-def contexts_of(counted: DataFrame) -> DataFrame:
-    """first, and per model its followers outside the dense table: n (occurrences) and kinds (different ones)."""
-    leads = counted.filter("leads")
-    return leads.groupBy("first").agg(*[agg.alias(f"{name}_{m}") for m in MODELS for name, agg in (
-        ("n", F.sum(m)), ("kinds", F.sum((F.col(m) > 0).cast("long"))))])
+    many = counted.filter(F.col("kind") == MANY).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in TOTALS))
+    # bigrams of a known and another word are packed too; those of two others hold no known word
+    return many.groupBy("id").agg(*[F.sum(c).alias(c) for c in TOTALS])
 
 
-def known_words(counted: DataFrame) -> DataFrame:
-    """second, and per model its occurrences outside the dense table, for known words."""
-    return counted.filter("leads AND second >= 0").groupBy("second").agg(*[F.sum(m).alias(f"word_{m}") for m in MODELS])
+def positive(values: np.ndarray) -> np.ndarray:
+    return np.maximum(values, 0)
 
 
-def bigram_loss(count: Column, total: Column, kinds: Column, word: Column) -> Column:
-    """-log P(second | first): absolute discount, interpolated with the second word's smoothed share; a context never seen leaves that alone."""
-    return -F.log((F.greatest(count - DISCOUNT, F.lit(0.0)) + (DISCOUNT * kinds + CONTEXT_PRIOR) * word) / (total + CONTEXT_PRIOR))
+def bigram_loss(count, total, kinds, share, positive=positive, log=np.log):
+    """-log P(second | first): absolute discount, interpolated with the second word's share; a context never seen leaves that alone.
+    Of arrays, or of columns with their own functions."""
+    return -log((positive(count - DISCOUNT) + (DISCOUNT * kinds + CONTEXT_PRIOR) * share) / (total + CONTEXT_PRIOR))
 
 
 class Totals:
@@ -223,29 +329,6 @@ class Totals:
         return (occurrences + UNIGRAM_FLOOR) / (self.whole or 1.0)
 
 
-def dense_losses(table: np.ndarray, n: np.ndarray, kinds: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """bigram_loss of all places of the dense table; n and kinds per first word, word (a share) per second one, all over the whole vocabulary."""
-    out = (np.maximum(table - DISCOUNT, 0) + (DISCOUNT * kinds + CONTEXT_PRIOR)[:, None] * word) / (n + CONTEXT_PRIOR)[:, None]
-    return -np.log(out, out=out).astype(np.float32).ravel()
-
-
-def by_number(rows: pa.Table, key: str, value: str, size: int) -> np.ndarray:
-    """Values by the key's place in the dense table; 0 where there is none."""
-    at = rows[key].to_numpy()
-    out = np.zeros(size, np.int64)
-    out[np.where(at == START, FREQUENT, at)] = rows[value].to_numpy()
-    return out
-
-
-def added(rows: DataFrame, key: str, columns: dict[str, np.ndarray]) -> DataFrame:
-    """rows with the dense table's figures added; the last of these is the start token's, if there are FREQUENT + 1."""
-    size = len(next(iter(columns.values())))
-    numbers = np.arange(size)
-    numbers[numbers == FREQUENT] = START
-    dense = rows.sparkSession.createDataFrame(pa.table({key: numbers} | columns), rows.schema)
-    return rows.unionByName(dense).groupBy(key).agg(*[F.sum(c).alias(c) for c in columns])
-
-
 def score_documents(docs: DataFrame, targets: DataFrame, known_words_at_most: int = KNOWN) -> DataFrame:
     """docs scored against the documents whose ids are in targets (doc_id): doc_id, n_tokens, target_loss, background_loss, score.
 
@@ -256,8 +339,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, known_words_at_most: in
     wanted = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
     # labels grow with the corpus: joined the same way at every size, never broadcast
     rows = stored(tokenised(docs, vocabulary).join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("target_id").isNotNull().alias("is_target"),
-        (F.length("tokens") / 4).cast("long").alias("n_tokens"), "tokens", "others"), "tokens")
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("target_id").isNotNull().alias("is_target"), "n_tokens", "tokens", "others"), "tokens")
     sums = rows.agg(F.sum("n_tokens").alias("background"), F.sum(F.when(F.col("is_target"), F.col("n_tokens"))).alias("target")).first()
     different = words.count()
     totals = {m: Totals(sums[m] or 0, different) for m in MODELS}
@@ -266,41 +348,76 @@ def score_documents(docs: DataFrame, targets: DataFrame, known_words_at_most: in
     tables = {m: np.zeros((FREQUENT + 1, FREQUENT)) for m in MODELS}
     for m in MODELS:
         tables[m].flat[frequent["pair"].to_numpy()] = frequent[m].to_numpy()
-    counted = stored(counted_bigrams(dealt_bigrams(rows)), "bigrams")
-    contexts = stored(added(contexts_of(counted), "first", {k: v for m in MODELS for k, v in (
-        (f"n_{m}", tables[m].sum(axis=1).astype(np.int64)), (f"kinds_{m}", np.count_nonzero(tables[m], axis=1)))}), "contexts")
-    known = stored(added(known_words(counted), "second", {f"word_{m}": tables[m].sum(axis=0).astype(np.int64) for m in MODELS}), "known")
-
-    first = contexts.filter((F.col("first").between(0, FREQUENT - 1)) | (F.col("first") == START)).toArrow()
-    second = known.filter(F.col("second") < FREQUENT).toArrow()
-    models = context.broadcast([dense_losses(
-        tables[m], by_number(first, "first", f"n_{m}", FREQUENT + 1), by_number(first, "first", f"kinds_{m}", FREQUENT + 1),
-        totals[m].share(by_number(second, "second", f"word_{m}", FREQUENT))) for m in MODELS])
-    schema = "row long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_tokens long, dense_background double, dense_target double"
+    dealt = dealt_bigrams(rows, 1 + (sums["background"] or 0) // BUCKET)
+    counted = stored(dealt.groupBy("bucket").applyInArrow(count_bucket, COUNTED), "bigrams")
+
+    outside = known_totals(counted).toArrow()  # KNOWN + 1 rows at most
+    known = {c: np.zeros(KNOWN + 1, np.int64) for c in TOTALS}
+    frequents = [*range(FREQUENT), START]
+    for c in TOTALS:
+        known[c][outside["id"].to_numpy()] = outside[c].to_numpy()
+    dense = []
+    for m in MODELS:
+        known[f"n_{m}"][frequents] += tables[m].sum(axis=1).astype(np.int64)
+        known[f"kinds_{m}"][frequents] += np.count_nonzero(tables[m], axis=1)
+        known[f"word_{m}"][:FREQUENT] += tables[m].sum(axis=0).astype(np.int64)
+        dense.append(bigram_loss(tables[m], known[f"n_{m}"][frequents, None], known[f"kinds_{m}"][frequents, None],
+                                 totals[m].share(known[f"word_{m}"][:FREQUENT])).astype(np.float32).ravel())
+    models = context.broadcast(dense)
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
+                           *[T.StructField(f"dense_{m}", T.DoubleType()) for m in MODELS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lost: list[list[float]] = [[], []]
-            for tokens, others in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                place, held = dense_places(ids_of(tokens, others))
+            for n_tokens, tokens, others in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                place, held = dense_places(ids_of(n_tokens, tokens, others))
                 at = place[held]
                 for found, model in zip(lost, models.value, strict=True):
                     found.append(float(model[at].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(found, pa.float64()) for found in lost]],
-                                             names=["row", "doc_id", "n_tokens", "dense_background", "dense_target"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(found, pa.float64()) for found in lost]], names=schema.names)
 
-    dense = rows.select("row", "doc_id", "n_tokens", "tokens", "others").mapInArrow(run, schema)
-    rest = rest_losses(counted, contexts, known, totals)
+    scored = rows.select("row", "doc_id", "n_tokens", "tokens", "others").mapInArrow(run, schema)
+    rest = rest_losses(counted, context.broadcast(known), totals)
     loss = {m: (F.col(f"dense_{m}") + F.coalesce(f"rest_{m}", F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens")) for m in MODELS}
-    return dense.join(rest, "row", "left").select("doc_id", "n_tokens", loss["target"].alias("target_loss"), loss["background"].alias("background_loss"),
-                                                  (loss["target"] - loss["background"]).alias("score"))
+    return scored.join(rest, "row", "left").select("doc_id", "n_tokens", loss["target"].alias("target_loss"), loss["background"].alias("background_loss"),
+                                                   (loss["target"] - loss["background"]).alias("score"))
 
 
-def rest_losses(counted: DataFrame, contexts: DataFrame, known: DataFrame, totals: dict[str, Totals]) -> DataFrame:
+def rest_losses(counted: DataFrame, known, totals: dict[str, Totals]) -> DataFrame:
     """row and per model the summed losses of its bigrams outside the dense table."""
-    given = known.select("second", *[F.col(f"word_{m}").alias(f"known_{m}") for m in MODELS])
-    parts = [counted.filter("first >= 0").join(F.broadcast(contexts.filter("first >= 0")), "first"),  # KNOWN + 1 rows at most
-             counted.filter("first < 0").join(contexts.filter("first < 0").hint("merge"), "first")]
-    both = parts[0].unionByName(parts[1]).join(F.broadcast(given), "second", "left")
-    return both.groupBy("row").agg(*[F.sum(bigram_loss(F.col(m), F.col(f"n_{m}"), F.col(f"kinds_{m}"),
-                                                       totals[m].share(F.coalesce(f"word_{m}", f"known_{m}")))).alias(f"rest_{m}") for m in MODELS])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, second, count, total, rows in unpack_many(batch):
+                found, at = np.unique(rows, return_inverse=True)
+                lost = []
+                for m in MODELS:
+                    n, kinds, word = (np.where(ids >= 0, known.value[f"{name}_{m}"][ids], total[f"{name}_{m}"])
+                                      for name, ids in (("n", first), ("kinds", first), ("word", second)))
+                    loss = bigram_loss(count[m], n, kinds, totals[m].share(word))
+                    lost.append(np.bincount(at, np.repeat(loss, count["background"]), len(found)))
+                together, start = np.unique(found >> TOGETHER, return_index=True)
+                parts = [slice(i, j) for i, j in zip(start, [*start[1:], len(found)], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(together, pa.int64()), pa.array([p.stop - p.start for p in parts], pa.int64()),
+                    *[pa.array([packed(c[p]) for p in parts], pa.binary()) for c in (found & (1 << TOGETHER) - 1, *lost)]], names=["together", "n", "at", *MODELS])
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros((2, 1 << TOGETHER))
+        seen = np.zeros(1 << TOGETHER, bool)
+        for n, at, *lost in zip(*(table[c].to_pylist() for c in ("n", "at", *MODELS)), strict=True):
+            at = unpacked(at, n)
+            seen[at] = True
+            for total, loss in zip(sums, lost, strict=True):
+                total[at] += unpacked(loss, n, "<f8")
+        at = np.flatnonzero(seen)
+        return pa.table({"row": at + (table["together"][0].as_py() << TOGETHER)} | {m: total[at] for m, total in zip(MODELS, sums, strict=True)})
+
+    summed = "row long, " + ", ".join(f"{m} double" for m in MODELS)
+    many = counted.filter(F.col("kind") == MANY).mapInArrow(run, "together long, n long, at binary, " + ", ".join(f"{m} binary" for m in MODELS)).groupBy(
+        "together").applyInArrow(add, summed)
+    firsts = counted.filter(F.col("kind") == FIRST).select("first", *[c for c in TOTALS if not c.startswith("word")])
+    ones = counted.filter(F.col("kind") == ONE).select("row", "first", *COUNTS, *[f"word_{m}" for m in MODELS]).join(firsts.hint("merge"), "first").select(
+        "row", *[bigram_loss(F.col(m), F.col(f"n_{m}"), F.col(f"kinds_{m}"), totals[m].share(F.col(f"word_{m}")),
+                             lambda c: F.greatest(c, F.lit(0.0)), F.log).alias(m) for m in MODELS])
+    return many.unionByName(ones).groupBy("row").agg(*[F.sum(m).alias(f"rest_{m}") for m in MODELS])
