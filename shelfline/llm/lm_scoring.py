@@ -49,7 +49,7 @@ CONTEXT_PRIOR = 20
 #: Different words or bigrams that a task gathers before it passes them on.
 GATHERED = 1 << 19
 #: Words of the corpus per bucket of bigrams, about.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: Rows of one part of the table of tokens are numbered from the same multiple of 2 to this power.
 PART = 33
 #: Documents whose losses are summed together: 2 to this power.
@@ -148,7 +148,7 @@ def dense_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def frequent_counts(rows: DataFrame) -> DataFrame:
     """pair (place in the dense table), background and target: counts over all documents and over those with is_target."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, (FREQUENT + 1) * FREQUENT), np.int64)
+        table = np.zeros((2, (FREQUENT + 1) * FREQUENT), np.int32)
         for batch in batches:
             for n_tokens, tokens, others, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 place, held = dense_places(ids_of(n_tokens, tokens, others))
@@ -159,7 +159,7 @@ def frequent_counts(rows: DataFrame) -> DataFrame:
         pair = np.flatnonzero(table[0])
         for start in range(0, len(pair), GATHERED):
             at = pair[start:start + GATHERED]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[0][at]), pa.array(table[1][at])],
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(counts[at].astype(np.int64)) for counts in table]],
                                              names=["pair", "background", "target"])
 
     counted = rows.select("n_tokens", "tokens", "others", "is_target").mapInArrow(count, "pair int, background long, target long")
