@@ -24,6 +24,12 @@ def products(spark, sf):
     return b.view(spark, sf, "v_catalog_products")
 
 
+def by_product(spark, sf):
+    """Products and offers of the stored catalog, the offers of a product side by side."""
+    offers = b.from_sql(spark, sf, b.BY_PRODUCT)
+    return spark.sql(b.VIEWS["v_catalog_products"], v_catalog_offers=offers), offers
+
+
 def feed(spark, sf):
     return b.view(spark, sf, "v_feed_items")
 
@@ -338,7 +344,7 @@ def _(spark, sf):
 @query("export_import_catalog", "SELECT * FROM v_catalog_offers", CATALOG)
 def _(spark, sf):
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-    cards, offers = products(spark, sf), stored(spark, sf)
+    cards, offers = by_product(spark, sf)
     store.export_catalog_json(cards, offers, path)
     return store.import_catalog_json(spark, path, cards.schema, offers.schema)[1]
 
@@ -347,7 +353,7 @@ def _(spark, sf):
 SELECT p.product_key, p.title, count(o.product_key) AS offers, min(o.position) AS first_position
 FROM v_catalog_products p LEFT JOIN v_catalog_offers o ON o.product_key = p.product_key GROUP BY ALL""", CATALOG)
 def _(spark, sf):
-    nested = store.nest_catalog(products(spark, sf), stored(spark, sf))
+    nested = store.nest_catalog(*by_product(spark, sf))
     return nested.groupBy("product_key", "title").agg(F.sum(F.size("offers")).cast("bigint").alias("offers"),
                                                       F.min(F.col("offers")[0]["position"]).alias("first_position"))
 
@@ -357,7 +363,7 @@ SELECT 'first' AS step, count(*) AS imported, (SELECT count(*) FROM v_catalog_of
 UNION ALL SELECT 'again', 0, (SELECT count(*) FROM v_catalog_offers)""", CATALOG)
 def _(spark, sf):
     place = f"{shared_dir(spark)}/bootstrap-{uuid.uuid4().hex}"
-    cards, offers = products(spark, sf), stored(spark, sf)
+    cards, offers = by_product(spark, sf)
     store.export_catalog_json(cards, offers, f"{place}/json")
     steps = []
     for step in ("first", "again"):

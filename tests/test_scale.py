@@ -1,12 +1,14 @@
 """Steps that have to stay small: the catalog view, snapshots on disk, the card index."""
 
 import os
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from shelfline import bindings as b
 from shelfline.operators import search
+from shelfline.registry import catalogs
 from shelfline.sources import store
 
 
@@ -45,6 +47,24 @@ def test_snapshot_is_compressed(spark, tmp_path):
     assert same(read_cards, cards) and same(read_offers, offers)
 
 
+def test_snapshot_shuffles_lines_once(spark, tmp_path):
+    """Products and nested offers share one shuffle of narrow lines; rows are those of the catalog, also for keys that come twice or are missing."""
+    folder = tables(spark, tmp_path / "tables")
+    cards, offers = catalogs.by_product(spark, folder)
+    told = b.from_sql(spark, folder, b.VIEWS["v_catalog_offers"])
+    same = lambda x, y: sorted(map(str, x.select(*y.columns).collect())) == sorted(map(str, y.collect()))
+    assert offers.columns == told.columns and dict(offers.dtypes) == dict(told.dtypes) and same(offers, told) and same(cards, b.view(spark, folder, "v_catalog_products"))
+    loose = told.unionByName(told.limit(1).withColumn("product_key", F.lit(None).cast("string")))
+    nested = store.nest_catalog(cards, loose, per_line=1)
+    assert same(nested.select("product_key", F.inline("offers")), told) and nested.groupBy("product_key").agg(F.countDistinct("part").alias("n")).filter("n > 1").count() > 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = store.nest_catalog(cards, offers)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall("- Exchange .*REPARTITION_BY_COL", plan)) == 1 and plan.count("ReusedExchange") >= 1
+
+
 def test_card_index_is_not_broadcast(spark):
     """Neither the fragments of all cards nor the cards go to every executor, however small Spark takes them for."""
     cards = spark.range(200).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("Phone "), F.col("id") % 7, F.lit(" blue ring")).alias("title"), F.lit("https://c.example/p").alias("url"))
