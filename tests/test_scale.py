@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from shelfline import bindings as b
-from shelfline.operators import search
+from shelfline.operators import alerts, search
 from shelfline.registry import catalogs
 from shelfline.sources import store
 
@@ -65,6 +66,32 @@ def test_snapshot_shuffles_lines_once(spark, tmp_path):
     assert len(re.findall("- Exchange .*REPARTITION_BY_COL", plan)) == 1 and plan.count("ReusedExchange") >= 1
 
 
+def test_toggles_are_not_shuffled_again(spark, tmp_path):
+    """Subscriptions and toggles stay where their product is; keys that come twice or are missing count as they did."""
+    folder = tables(spark, tmp_path)
+    spark.createDataFrame([(n, None if n == 3 else n % 4, "O", 1.0) for n in [*range(30), 4]], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    for name in ("v_subscriptions", "v_toggles"):
+        shown, told = b.view(spark, folder, name), b.from_sql(spark, folder, b.VIEWS[name])
+        assert shown.columns == told.columns and dict(shown.dtypes) == dict(told.dtypes) and told.count() > 0
+        assert sorted(map(str, shown.collect())) == sorted(map(str, told.collect()))
+    plan = queries()["toggle_alerts"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(product_key") >= 2 and "Exchange hashpartitioning(chat_id" not in plan
+
+
+def test_toggled_states(spark):
+    at = datetime(2001, 1, 1)
+    state = spark.createDataFrame([(1, "a", "t", "q", 5.0, "BYN", True, at, at), (1, "a", "t2", "q", 6.0, "BYN", False, at, at), (None, "a", "t", "q", 7.0, "BYN", True, at, at),
+                                   (2, "b", "t", "q", 8.0, "BYN", True, at, at)],
+                                  "chat_id long, product_key string, title string, query string, last_notified_price double, currency string, active boolean, created_at timestamp_ntz, checked_at timestamp_ntz")
+    turns = spark.createDataFrame([(1, "a", "x1", "q", 1.0, "BYN", "p1"), (1, "a", "x2", "q", 2.0, "BYN", "p2"), (1, "a", "x3", "q", 3.0, "BYN", "p3"), (1, "a", "no", "q", -1.0, "BYN", "p9"),
+                                   (3, "c", "y", "q", 4.0, "BYN", "p1"), (None, "a", "z", "q", 4.0, "BYN", "p1"), (4, None, "z", "q", 4.0, "BYN", "p1")],
+                                  "chat_id long, product_key string, title string, query string, price double, currency string, position string")
+    rows = alerts.toggle_alerts(state, turns, F.lit(datetime(2002, 1, 1)).cast("timestamp_ntz")).select("chat_id", "product_key", "title", "last_notified_price", "active", F.col("checked_at").isNull()).collect()
+    # three valid toggles: off by the last one where it was on, on by it where it was off; a toggle without a key is none
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, "a", "x2", 2.0, False, True), (1, "a", "x3", 3.0, True, True), (None, "a", "t", 7.0, True, False),
+                                                        (2, "b", "t", 8.0, True, False), (3, "c", "y", 4.0, True, True)], key=str)
+
+
 def test_card_index_is_not_broadcast(spark):
     """Neither the fragments of all cards nor the cards go to every executor, however small Spark takes them for."""
     cards = spark.range(200).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("Phone "), F.col("id") % 7, F.lit(" blue ring")).alias("title"), F.lit("https://c.example/p").alias("url"))
