@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from shelfline.functions import features
 from shelfline.operators import matching
 from shelfline.plans.import_feed import update_catalog
@@ -24,6 +25,16 @@ def test_items_meet_answers_by_identity(spark):
     assert placed.filter("action = 'merged'").count() == 30 - 7
 
 
+def test_lines_are_read_once_for_identifiers(spark, tmp_path):
+    """The answer comes from stored rows, the lines are not worked out again for it; ids are bytes, not text."""
+    placed = queries()["match_by_identifier"](spark, tables(spark, tmp_path))
+    assert not any("lineitem" in f for f in placed.inputFiles())
+    rows = placed.orderBy("source").collect()
+    # product 1 alone has a code; both sources that have a name or none meet in the first of them
+    assert [r.action for r in rows].count("created") == 1 and len({r.product_position for r in rows}) == 1 and {r.external_id for r in rows} == {"1"}
+    assert all(len(r[0]) == 16 for r in matching.identity_keys(frame(spark, [("n", {"mpn": "m"})])).select("_u").collect())
+
+
 def test_later_copy_opens_its_own_product(spark):
     """A second item of a text meets a doubtful product that the first one did not meet, and that scores higher."""
     known = {"brand": "abcdefg", "model": "zen 5"}
